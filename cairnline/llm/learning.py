@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     return docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id")
 
 
+def keep(docs: DataFrame, model, least: float = 0.0, below: float = float("inf")) -> DataFrame:
+    """The rows of ``docs``, whole, whose texts score from ``least`` to under ``below``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            got = [shared.value.score(texts[n: n + 500]) for n in range(0, len(texts), 500)]
+            s = np.clip(np.concatenate(got) if got else np.zeros(0), 0.0, 1.0)
+            yield batch.filter(pa.array((s >= least) & (s < below)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def auc(y: np.ndarray, score: np.ndarray) -> float:
     order = np.argsort(score, kind="stable")
     rank = np.empty(len(y))

@@ -47,6 +47,20 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import report
+
+    return report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    return scan(read(spark, sf_dir, "documents"))
+
+
 @query
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
@@ -75,6 +89,20 @@ def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+@query
+def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tiff import digests
+
+    return digests(read(spark, sf_dir, "documents"))
+
+
+@query
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 @query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
