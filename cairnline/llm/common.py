@@ -7,6 +7,9 @@ import tempfile
 import uuid
 import zipfile
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +51,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches: a batch's words as Python objects take many times its bytes."""
+    for batch in batches:
+        for n in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(n, rows)
+
+
 def held_out() -> Column:
     """True for the fifth of the documents whose labels are never learned from."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0

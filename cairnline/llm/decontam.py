@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, slices
 from .wordhash import MIX, alnum_words, mixed, runs, split_hashes, word_hashes
 
 
@@ -139,7 +139,7 @@ def contaminated(
     known = spark.sparkContext.broadcast(known)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             found, at = [], []
             for n, h in enumerate(split_hashes([alnum_words(t) for t in texts], word_hashes)):
@@ -162,7 +162,7 @@ def contaminated(
     wanted = wanted.groupBy("key").agg(F.collect_list(F.struct("item_id", "item")).alias("items")).join(seeded.select("key", "text"), "key")
 
     def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows, at = [], []
             ids = []
             for n, (body, each) in enumerate(zip(batch.column("text").to_pylist(), batch.column("items").to_pylist(), strict=True)):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, slices
 from .wordhash import alnum_words, runs, split_hashes, word_hashes
 
 K = 3
@@ -73,7 +73,7 @@ def scan(
     base = [(label, split_hashes([alnum_words(t.encode())], word_hashes)[0]) for label, t in phrases]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             each = [alnum_words(t) for t in texts]
             rows = []

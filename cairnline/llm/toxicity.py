@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, slices
 from .learning import labelled_sample
 
 # Second-person pronouns of English, German, French and Spanish.
@@ -206,7 +206,7 @@ def fit(sample: DataFrame, entries: int = 400, folds: int = 3) -> Model:
     """Fit on a sample of labelled texts. Only counts of the best ``entries`` and the sample's
     features reach the driver."""
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2000):
             by = (Counter(), Counter())
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 bare = {forms(w)[0] for w in set(text.split())}
@@ -232,7 +232,7 @@ def fit(sample: DataFrame, entries: int = 400, folds: int = 3) -> Model:
         (lexicon.stems if r["term"].endswith("-") else lexicon.words)[r["term"]] = float(r["odds"])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2000):
             x = [features(t, lexicon) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float64())), batch.column("y")], ["doc_id", "x", "y"])
 
