@@ -1,4 +1,34 @@
 """All queries by name, with the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..session import ship
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(f: Query) -> Query:
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return run
+
+    return add
+
+
+from . import structure_queries, table_queries  # noqa: E402, F401  (they register themselves)
