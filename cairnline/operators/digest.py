@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -45,16 +47,32 @@ def digest(contigs: DataFrame, enzymes: list[Enzyme], truncate: int | None = Non
     return contigs.select("genome", F.col("contig_id").cast("long"), "seq").mapInArrow(run, LANDMARKS)
 
 
+def _anchored(seq: Column, start: Column, pattern: str) -> Column:
+    """Whether the fixed and ambiguous letters of a pattern stand where they belong."""
+    at, ok = 0, F.lit(True)
+    for letters, count in re.findall(r"(\[[A-Z]+\]|[A-Z]+)(?:\{(\d+)\})?", pattern):
+        if letters[0] != "[":
+            ok = ok & (F.substring(seq, start + at, F.lit(len(letters))) == letters)
+            at += len(letters)
+        else:
+            if not count:
+                ok = ok & F.substring(seq, start + at, F.lit(1)).isin(*letters[1:-1])
+            at += int(count or 1)
+    return ok
+
+
 def digest_native(contigs: DataFrame, enzyme: Enzyme) -> DataFrame:
-    """The same for one enzyme by DataFrame operations alone: every window start, tested in turn."""
+    """The same for one enzyme by DataFrame operations alone: starts are filtered inside the sequence's
+    row, so only hits become rows."""
     n = enzyme.length
-    windows = contigs.filter(F.length("seq") >= n).select(
-        "genome", F.col("contig_id").cast("long").alias("contig_id"), "seq", F.explode(F.sequence(F.lit(1), F.length("seq") - n + 1)).alias("p")
-    ).select("genome", "contig_id", (F.col("p") - 1).cast("long").alias("pos"), F.expr(f"substring(seq, p, {n})").alias("tag"))
+    hit = lambda p: reduce(lambda a, b: a | b, (_anchored(F.col("seq"), p, pattern) for _, pattern in enzyme.patterns))
+    starts = F.filter(F.sequence(F.lit(1), F.length("seq") - n + 1), hit)
+    found = contigs.filter(F.length("seq") >= n).select("genome", F.col("contig_id").cast("long").alias("contig_id"), "seq", F.explode(starts).alias("p"))
+    found = found.select("genome", "contig_id", (F.col("p") - 1).cast("long").alias("pos"), F.expr(f"substring(seq, p, {n})").alias("tag"))
     strand = F.lit(None).cast("string")
     for s, pattern in reversed(enzyme.patterns):
         strand = F.when(F.col("tag").rlike(f"^{pattern}$"), s).otherwise(strand)
-    return windows.withColumn("strand", strand).filter(F.col("strand").isNotNull()).select(
+    return found.withColumn("strand", strand).filter(F.col("strand").isNotNull()).select(
         "genome", "contig_id", "pos", F.col("tag").alias("seq"), F.lit(enzyme.name).alias("enzyme"), "strand"
     )
 

@@ -46,7 +46,8 @@ def file_order() -> Window:
 def gaps(landmarks: DataFrame) -> DataFrame:
     """``gap`` to the landmark before in file order; 0 where the position does not grow, null for the
     first."""
-    return landmarks.withColumn("gap", F.greatest(F.col("gpos") - F.lag("gpos").over(file_order()), F.lit(0)))
+    step = F.col("gpos") - F.lag("gpos").over(file_order())
+    return landmarks.withColumn("gap", F.when(step.isNotNull(), F.greatest(step, F.lit(0))))
 
 
 def gap_stats(landmarks: DataFrame) -> DataFrame:

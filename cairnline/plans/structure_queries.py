@@ -71,7 +71,7 @@ def scalar_functions(spark, sf):
     return k.select("s", revcomp(s).alias("rc"), R(gc_content(s)).alias("gc"), is_palindromic(s).alias("pal"), valid_dna(s).alias("valid"), stable_hash(s).alias("h"), R(mash_distance(F.lit(0.5), 1) / F.length(s)).alias("mash"))
 
 
-@query(f"""WITH {marks()}, g AS (SELECT genome, greatest(gpos - lag(gpos) OVER (PARTITION BY genome ORDER BY contig_id, pos), 0) AS gap FROM marks)
+@query(f"""WITH {marks()}, g AS (SELECT genome, CASE WHEN step IS NOT NULL THEN greatest(step, 0) END AS gap FROM (SELECT genome, gpos - lag(gpos) OVER (PARTITION BY genome ORDER BY contig_id, pos) AS step FROM marks))
 SELECT genome, count(*) AS tags, 1::BIGINT AS enzymes, round(coalesce(avg(gap), 0), 6) AS mean_gap, round(coalesce(quantile_cont(gap, 0.5), 0), 6) AS median_gap, coalesce(max(gap), 0)::BIGINT AS max_gap FROM g GROUP BY 1""")
 def gap_stats(spark, sf):
     g = series.gap_stats(A.landmarks(spark, sf))

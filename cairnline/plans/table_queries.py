@@ -20,6 +20,7 @@ tok AS (SELECT *, list_sort(list_distinct(list_filter(['KO:P' || pk, 'PFAM:' ||
 COUNTS = "tc AS (SELECT cluster, token, count(*) AS n FROM (SELECT cluster, unnest(tokens) AS token FROM tok) GROUP BY 1, 2)"
 ADJ = """ad AS (SELECT DISTINCT cluster, least(x, y) AS a, greatest(x, y) AS b FROM (SELECT cluster, tokens[1] AS x, lead(tokens[1]) OVER (PARTITION BY cluster ORDER BY rn) AS y FROM tok) WHERE y IS NOT NULL)"""
 WEIGHT = "CASE WHEN split_part(token, ':', 1) IN ('KO', 'EGGNOG', 'SMASH') THEN 3.0 WHEN split_part(token, ':', 1) IN ('PFAM', 'COG', 'AMRCLASS') THEN 2.0 ELSE 1.0 END"
+XWEIGHT = WEIGHT.replace("token", "x.token")
 #: Candidate pairs for the score queries: orders that share at least two parts.
 CAND = "cand AS (SELECT x.cluster AS q, y.cluster AS t FROM (SELECT DISTINCT cluster, pk FROM it) x JOIN (SELECT DISTINCT cluster, pk FROM it) y USING (pk) WHERE x.cluster < y.cluster GROUP BY 1, 2 HAVING count(*) >= 2)"
 
@@ -67,7 +68,7 @@ def cluster_build(spark, sf):
 
 
 OVERLAP = f"""tt AS (SELECT cluster, count(*) AS kinds, sum(n) AS n, sum(n * {WEIGHT}) AS w FROM tc GROUP BY 1),
-ov AS (SELECT q, t, count(*) AS shared, sum({WEIGHT} * least(x.n, y.n)) AS low, sum({WEIGHT} * greatest(x.n, y.n)) AS high, sum(abs(x.n - y.n)) AS apart, sum(x.n) AS sx, sum(y.n) AS sy FROM cand JOIN tc x ON x.cluster = q JOIN tc y ON y.cluster = t AND y.token = x.token GROUP BY 1, 2),
+ov AS (SELECT q, t, count(*) AS shared, sum({XWEIGHT} * least(x.n, y.n)) AS low, sum({XWEIGHT} * greatest(x.n, y.n)) AS high, sum(abs(x.n - y.n)) AS apart, sum(x.n) AS sx, sum(y.n) AS sy FROM cand JOIN tc x ON x.cluster = q JOIN tc y ON y.cluster = t AND y.token = x.token GROUP BY 1, 2),
 al AS (SELECT ov.*, a.kinds AS qk, b.kinds AS tk, a.n AS qn, b.n AS tn, a.w AS qw, b.w AS tw FROM ov JOIN tt a ON a.cluster = q JOIN tt b ON b.cluster = t)"""
 PAIRADJ = """na AS (SELECT cluster, count(*) AS n FROM ad GROUP BY 1), ab AS (SELECT q, t, count(*) AS m FROM cand JOIN ad x ON x.cluster = q JOIN ad y ON y.cluster = t AND (y.a, y.b) = (x.a, x.b) GROUP BY 1, 2),
 aj AS (SELECT q, t, CASE WHEN coalesce(u.n, 0) + coalesce(v.n, 0) - coalesce(m, 0) = 0 THEN 1.0 ELSE coalesce(m, 0) / (coalesce(u.n, 0) + coalesce(v.n, 0) - coalesce(m, 0)) END AS adjacency FROM cand LEFT JOIN ab USING (q, t) LEFT JOIN na u ON u.cluster = q LEFT JOIN na v ON v.cluster = t)"""
@@ -96,7 +97,7 @@ def _split(items):
     return items.filter(mine), items
 
 
-@query(f"""WITH {ITEMS}, {COUNTS}, {ADJ}, qs AS (SELECT DISTINCT cluster FROM it WHERE ok % 50 = 7), s AS (SELECT x.cluster AS q, y.cluster AS t FROM tc x JOIN tc y USING (token) WHERE x.cluster IN (FROM qs) AND {WEIGHT} >= 3
+@query(f"""WITH {ITEMS}, {COUNTS}, {ADJ}, qs AS (SELECT DISTINCT cluster FROM it WHERE ok % 50 = 7), s AS (SELECT x.cluster AS q, y.cluster AS t FROM tc x JOIN tc y USING (token) WHERE x.cluster IN (FROM qs) AND {XWEIGHT} >= 3
 UNION SELECT x.cluster, y.cluster FROM ad x JOIN ad y USING (a, b) WHERE x.cluster IN (FROM qs)) SELECT q, count(*) AS targets FROM s GROUP BY 1""")
 def cluster_seeds(spark, sf):
     mine, all_ = _split(_items(spark, sf))
@@ -163,9 +164,9 @@ def idf_weights(spark, sf):
 
 
 @query(f"""WITH {TERMS}, w AS (SELECT term, ln((1 + (SELECT count(DISTINCT doc) FROM tm)) / (1 + count(*))) + 1 AS idf FROM tm GROUP BY 1), v AS (SELECT doc, term, idf FROM tm JOIN w USING (term)), n AS (SELECT doc, sqrt(sum(idf * idf)) AS norm FROM v GROUP BY 1),
-d AS (SELECT a.doc AS a, b.doc AS b, sum(a.idf * b.idf) AS dot FROM v a JOIN v b USING (term) WHERE a.doc < b.doc GROUP BY 1, 2) SELECT a, b, round(dot / (x.norm * y.norm), 6) AS cosine FROM d JOIN n x ON x.doc = a JOIN n y ON y.doc = b WHERE dot / (x.norm * y.norm) >= 0.25""")
+d AS (SELECT a.doc AS a, b.doc AS b, sum(a.idf * b.idf) AS dot FROM v a JOIN v b USING (term) WHERE a.doc < b.doc GROUP BY 1, 2) SELECT a, b, round(dot / (x.norm * y.norm), 6) AS cosine FROM d JOIN n x ON x.doc = a JOIN n y ON y.doc = b WHERE dot / (x.norm * y.norm) >= 0.1""")
 def idf_cosine(spark, sf):
-    return V.cosine_pairs(_terms(spark, sf), "doc", "term").filter("cosine >= 0.25").withColumn("cosine", R("cosine"))
+    return V.cosine_pairs(_terms(spark, sf), "doc", "term").filter("cosine >= 0.1").withColumn("cosine", R("cosine"))
 
 
 @query("""WITH h AS (SELECT l_orderkey AS q, l_returnflag AS flag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey, l_suppkey, l_linenumber) AS rank, l_linenumber = 1 AS good FROM lineitem),

@@ -78,7 +78,8 @@ def tgt_text(landmarks: DataFrame, series: DataFrame) -> DataFrame:
     """One text row a series, as ``read_tgt`` reads it: ``genome, value``. ``series``: genome, length,
     contigs (name, length, circular)."""
     w = Window.partitionBy("genome").orderBy("ord")
-    gap = F.greatest(F.col("gpos") - F.lag("gpos").over(w), F.lit(0))
+    step = F.col("gpos") - F.lag("gpos").over(w)
+    gap = F.when(step.isNotNull(), F.greatest(step, F.lit(0)))
     contig = F.when(F.col("contig_name").isNotNull(), F.concat(F.lit(":"), "contig_name")).otherwise("")
     item = F.concat("enzyme", F.lit(":"), "seq", F.lit("@"), F.col("gpos").cast("string"), contig, F.lit("/"), "strand")
     item = F.when(gap.isNull(), item).otherwise(F.concat(F.lit("-"), gap.cast("string"), F.lit("- "), item))
