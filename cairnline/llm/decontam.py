@@ -200,6 +200,9 @@ def report(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, whole, in which no item is found."""
-    found = contaminated(docs, items, **how).select(F.col("key").alias("found_key")).distinct()
+    found_key = "_found_text"
+    while found_key in docs.columns:
+        found_key += "_"
+    found = contaminated(docs, items, **how).select(F.col("key").alias(found_key)).distinct()
     found = found if found.count() > MOST_BROADCAST else F.broadcast(found)
-    return docs.join(found, text_key() == F.col("found_key"), "left_anti")
+    return docs.join(found, text_key() == F.col(found_key), "left_anti")

@@ -36,6 +36,7 @@ def keep(docs: DataFrame, model, least: float = 0.0, below: float = float("inf")
             got = [shared.value.score(texts[n: n + 500]) for n in range(0, len(texts), 500)]
             s = np.clip(np.concatenate(got) if got else np.zeros(0), 0.0, 1.0)
             yield batch.filter(pa.array((s >= least) & (s < below)))
+        shared.value.forget()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -31,7 +31,7 @@ FEATURES = 15
 class WordForms:
     """Numbers for words, and a row of form features for each."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         self.most = most
         self.clear()
 
@@ -182,6 +182,9 @@ class Attention:
                     v[q] = 0.999 * v[q] + 0.001 * g[q] ** 2
                     self.p[q] = self.p[q] - rate * (m[q] / (1 - 0.9**step)) / (np.sqrt(v[q] / (1 - 0.999**step)) + 1e-8)
 
+    def forget(self) -> None:
+        _forms.clear()
+
     def score(self, texts: list[str]) -> np.ndarray:
         got = [self.forward(x, n)[0] for x, n in bags(texts)]
         return np.concatenate(got) if got else np.zeros(0)
@@ -191,6 +194,9 @@ class Constant:
     def __init__(self, share: float):
         self.share = share
 
+    def forget(self) -> None:
+        pass
+
     def score(self, texts: list[str]) -> np.ndarray:
         return np.full(len(texts), self.share)
 

@@ -60,7 +60,7 @@ class Lexicon:
         """word weight, stem weight, hidden weight, second person, all capitals, mixed signs."""
         found = self._known.get(word)
         if found is None:
-            if len(self._known) > 300_000:
+            if len(self._known) > 150_000:
                 self._known.clear()
             bare, clear = forms(word)
             w = self.words.get(bare, 0.0)
@@ -194,6 +194,10 @@ class Model:
     curve: tuple[np.ndarray, np.ndarray]
     share: float
 
+    def forget(self) -> None:
+        """Drop what is remembered of words: a worker that goes on to other work keeps its models."""
+        self.lexicon._known.clear()
+
     def score(self, texts: list[str]) -> np.ndarray:
         if self.trees is None or not texts:
             return np.full(len(texts), self.share)
@@ -256,6 +260,7 @@ def score(docs: DataFrame, model, threshold: float) -> DataFrame:
             got = [shared.value.score(texts[n: n + 500]) for n in range(0, len(texts), 500)]
             s = np.concatenate(got) if got else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.clip(s, 0.0, 1.0))], ["doc_id", "score"])
+        shared.value.forget()
 
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

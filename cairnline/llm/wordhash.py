@@ -25,7 +25,7 @@ def spaced_words(text: bytes) -> list[bytes]:
 class Hashes:
     """64-bit hashes of words, remembered for up to ``most`` words."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 150_000):
         self.known: dict[bytes, int] = {}
         self.most = most
 
