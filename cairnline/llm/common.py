@@ -19,8 +19,8 @@ _shipped: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once for each application, and keep Arrow
     batches small where their size was left at its default: rows here are whole texts."""
-    for name, default, ours in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", str((1 << 31) - 1), str(8 << 20))):
-        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) == default:
+    for name, default, ours in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "8m")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}") == default:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", ours)
     app = spark.sparkContext.applicationId
     if app in _shipped:
