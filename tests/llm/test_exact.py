@@ -131,9 +131,10 @@ def test_big_endian_and_bad_files(spark):
     files = [(1, bytearray(good)), (2, None), (3, bytearray(b"")), (4, bytearray(b"II*\0")), (5, bytearray(b"PNG...........")), (6, bytearray(good[:-30]))]
     rows = tiff.pages(spark.createDataFrame(files, "file_id long, content binary")).collect()
     assert {r["file_id"]: r["error"] is None for r in rows} == {1: True, 4: False, 5: False, 6: False}
-    big = b"MM\0*\0\0\0\x08\0\x05" + b"".join(t.to_bytes(2, "big") + b"\0\x04\0\0\0\1" + v.to_bytes(4, "big") for t, v in ((256, 2), (257, 1), (273, 80), (278, 1), (279, 2)))
-    big = big[:8] + (6).to_bytes(2, "big") + big[10:10 + 24] + b"\1\2\0\3\0\0\0\1\0\x08\0\0" + big[34:] + b"\0\0\0\0"
-    assert next(tiff.read_pages(big.ljust(86, b"\0")[:80] + b"\7\x09")).pixels == b"\7\x09"
+    entry = lambda tag, v: tag.to_bytes(2, "big") + b"\0\4\0\0\0\1" + v.to_bytes(4, "big")
+    bits = (258).to_bytes(2, "big") + b"\0\3\0\0\0\1\0\x08\0\0"
+    big = b"MM\0*\0\0\0\x08\0\6" + entry(256, 2) + entry(257, 1) + bits + entry(273, 86) + entry(278, 1) + entry(279, 2) + b"\0\0\0\0\7\x09"
+    assert next(tiff.read_pages(big)).pixels == b"\7\x09"
 
 
 def test_tiff_query(odd, empty):
