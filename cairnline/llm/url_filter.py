@@ -4,8 +4,8 @@ Explicit rules (host and path prefix) decide first, and what they decide is the
 For the rest, each host's paths form a tree of templates: segments with a variable shape, or too many
 different values among their siblings, become wildcards; a branch whose share of blocked evidence
 does not differ significantly from its siblings' pooled share is merged with them; and a template is
-rejected when its share, smoothed towards that of its registered domain and then of all pages, passes
-a threshold.
+rejected when its share, smoothed towards a neutral prior, passes a threshold. A template without
+evidence is allowed.
 
 Rows meet the tree only twice: once when they are counted by template (with partial sums), and once
 when verdicts are joined back, an equi-join that adaptive execution may split where one host holds
