@@ -2,10 +2,11 @@
 
 Explicit rules (host and path prefix) decide first, and what they decide is the labelled evidence.
 For the rest, each host's paths form a tree of templates: segments with a variable shape, or too many
-different values among their siblings, become wildcards; a branch whose share of blocked evidence
-does not differ significantly from its siblings' pooled share is merged with them; and a template is
-rejected when its share, smoothed towards a neutral prior, passes a threshold. A template without
-evidence is allowed.
+different values among their siblings, become wildcards; from the leaves to the host's root, a branch
+without evidence, or whose share of blocked evidence does not differ significantly from the pooled
+share of its parent, is merged into the parent; and a template is rejected when the share of the branch
+that it ends in, smoothed towards a neutral prior, passes a threshold. Templates of a host without any
+evidence are allowed.
 
 Rows meet the tree only twice: once when they are counted by template (with partial sums), and once
 when verdicts are joined back, an equi-join that adaptive execution may split where one host holds
@@ -56,8 +57,28 @@ def shape(segment: Column) -> Column:
     return F.when(coded, F.lit("*")).otherwise(segment)
 
 
+def merged(leaves: DataFrame, critical: float) -> DataFrame:
+    """``host, final, b, k``: the blocked and all evidence of the branch that each leaf ends in.
+
+    That is the nearest of the leaf and its ancestors that has evidence and whose share differs from
+    its parent's pooled share, or else the host's root."""
+    above = F.transform(F.sequence(F.lit(1), F.size(F.split("final", "/"))), lambda n: F.struct(n.alias("at"), F.array_join(F.slice(F.split("final", "/"), 1, n), "/").alias("branch")))
+    chain = leaves.select("host", "final", "known", "bad", F.inline(above))
+    pool = chain.filter("known > 0").groupBy("host", "branch").agg(F.sum("known").alias("k"), F.sum("bad").alias("b"))
+    pool = materialise(pool, "branches")
+    parent = pool.select("host", F.col("branch").alias("parent"), (F.col("b") / F.col("k")).alias("pooled"))
+    spread = F.sqrt(F.col("pooled") * (1 - F.col("pooled")) / F.col("k"))
+    apart = F.col("pooled").isNull() | (F.abs(F.col("b") / F.col("k") - F.col("pooled")) > critical * spread)
+    up = F.when(F.col("branch") != "", F.regexp_replace("branch", "/[^/]*$", ""))
+    kept = pool.withColumn("parent", up).join(parent, ["host", "parent"], "left").filter(apart).select("host", "branch", "b", "k")
+    ends = chain.join(kept, ["host", "branch"]).groupBy("host", "final").agg(F.max_by(F.struct("b", "k"), "at").alias("end"))
+    return leaves.select("host", "final").join(ends, ["host", "final"], "left").select(
+        "host", "final", F.coalesce("end.b", F.lit(0)).alias("b"), F.coalesce("end.k", F.lit(0)).alias("k")
+    )
+
+
 def judge(
-    pages: DataFrame, rules: list[tuple[str, str]], depth: int = 4, siblings: int = 12, strength: float = 4.0,
+    pages: DataFrame, rules: list[tuple[str, str]], depth: int | None = None, siblings: int = 12, strength: float = 4.0,
     neutral: float = 0.25, critical: float = 1.96, reject: float = 0.5,
 ) -> DataFrame:
     """``page_id, host, path, rule, verdict`` for all rows.
@@ -65,14 +86,16 @@ def judge(
     A node with more than ``siblings`` different child segments, none of which holds a fifth of its
     pages, has its children replaced by a wildcard. ``strength`` is the weight in
     pages of the prior share ``neutral``, ``critical`` the z value at which a branch is kept apart, ``reject`` the share from which
-    a template is rejected. Segments beyond ``depth`` are pooled under one wildcard."""
+    a template is rejected. Segments beyond ``depth``, if it is given, are pooled under one wildcard."""
     url = pages.select("page_id", F.col("url").cast("string").alias("url"))
     host, path = host_and_path(F.col("url"))
     rows = url.select("page_id", host.alias("host"), path.alias("path"))
     name, says = first_fit(rules)
     rows = rows.select("page_id", "host", "path", name.alias("rule"), says.alias("said"))
-    parts = F.slice(F.split(F.expr("substring(path, 2)"), "/"), 1, depth + 1)
-    steps = F.transform(parts, lambda s, n: F.when(n >= depth, F.lit("*")).otherwise(shape(s)))
+    parts = F.split(F.expr("substring(path, 2)"), "/")
+    steps = F.transform(parts, shape)
+    if depth is not None:
+        steps = F.transform(F.slice(parts, 1, depth + 1), lambda s, n: F.when(n >= depth, F.lit("*")).otherwise(shape(s)))
     rows = rows.withColumn("template", F.array_join(steps, "/"))
 
     known = F.col("said").isNotNull().cast("long")
@@ -81,30 +104,26 @@ def judge(
         F.count(F.lit(1)).alias("n"), F.sum(known).alias("known"), F.sum(F.coalesce(bad, F.lit(0))).alias("bad")
     ).withColumn("steps", F.split("template", "/")).withColumn("final", F.lit(""))
     tree = materialise(tree, "templates")
-    for level in range(depth):
+    level = 0
+    while (depth is None or level < depth) and not tree.filter(F.size("steps") > level).isEmpty():
         tree = tree.withColumn("step", F.try_element_at("steps", F.lit(level + 1)))
-        child = tree.groupBy("host", "final", "step").agg(F.sum("n").alias("in_child"))
-        node = child.groupBy("host", "final").agg(F.sum("in_child").alias("in_node"), F.count("step").alias("kinds"))
+        child = tree.groupBy("host", "final", "step").agg(F.sum("n").alias("in_child"), F.count(F.lit(1)).alias("templates"))
+        node = child.groupBy("host", "final").agg(F.sum("in_child").alias("in_node"), F.count("step").alias("kinds"), F.sum("templates").alias("templates"))
         crowd = (F.col("kinds") > siblings) & (F.col("in_child") * 5 < F.col("in_node"))
-        grown = child.filter(F.col("step").isNotNull()).join(node, ["host", "final"]).select(
-            "host", "final", "step", F.when(crowd, "*").otherwise(F.col("step")).alias("taken")
+        grown = child.filter(F.col("step").isNotNull()).drop("templates").join(node, ["host", "final"]).select(
+            "host", "final", "step", F.when(crowd, "*").otherwise(F.col("step")).alias("taken"), (F.col("templates") == 1).alias("lone")
         )
-        tree = tree.join(grown, ["host", "final", "step"], "left").withColumn(
-            "final", F.when(F.col("taken").isNull(), F.col("final")).otherwise(F.concat_ws("/", "final", "taken"))
+        # a lone template has no siblings further down either, so the rest of its steps is taken at once
+        rest = F.array_join(F.slice("steps", level + 1, F.size("steps")), "/")
+        taken = F.concat_ws("/", "final", F.when(F.col("lone") & F.lit(depth is None), rest).otherwise(F.col("taken")))
+        tree = tree.join(grown, ["host", "final", "step"], "left").select(
+            "host", "template", F.when(F.col("lone") & F.lit(depth is None), F.array().cast("array<string>")).otherwise(F.col("steps")).alias("steps"),
+            F.when(F.col("taken").isNull(), F.col("final")).otherwise(taken).alias("final"), "n", "known", "bad",
         )
-        tree = materialise(tree.select("host", "template", "steps", "final", "n", "known", "bad"), "templates")
-
-    nodes = tree.groupBy("host", "final").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad"))
-    nodes = nodes.withColumn("parent", F.regexp_replace("final", "/[^/]*$", ""))
-    family = nodes.groupBy("host", "parent").agg(F.sum("known").alias("f_known"), F.sum("bad").alias("f_bad"))
-    nodes = nodes.join(family, ["host", "parent"])
-    pooled = F.col("f_bad") / F.greatest(F.col("f_known"), F.lit(1))
-    spread = F.sqrt(pooled * (1 - pooled) / F.greatest(F.col("known"), F.lit(1)))
-    own = F.col("bad") / F.greatest(F.col("known"), F.lit(1))
-    alike = (F.col("known") == 0) | (F.abs(own - pooled) <= critical * spread)
-    nodes = nodes.withColumn("b", F.when(alike, F.col("f_bad")).otherwise(F.col("bad"))).withColumn(
-        "k", F.when(alike, F.col("f_known")).otherwise(F.col("known"))
-    )
+        tree = materialise(tree, "templates")
+        level += 1
+
+    nodes = merged(tree.groupBy("host", "final").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad")), critical)
     nodes = nodes.withColumn("purity", (F.col("b") + strength * neutral) / (F.col("k") + strength))
     verdicts = tree.join(nodes.select("host", "final", "purity"), ["host", "final"]).select(
         "host", "template", F.col("final").alias("tree_template"), "purity"

@@ -169,3 +169,22 @@ def test_url_templates(spark):
     assert got[39]["verdict"] == "block" and got[139]["verdict"] == "allow" and got[39]["rule"] != got[139]["template"]
     slugs = [(n, f"http://s.com/{'abcdefghijklmnopqrst'[n]}word/x") for n in range(20)]
     assert {r["template"] for r in url_filter.judge(spark.createDataFrame(slugs, "page_id long, url string"), rules).collect()} == {"/*/x"}
+
+
+def test_url_branches(spark):
+    def judged(urls, rules):
+        df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+        return {r["page_id"]: (r["verdict"], r["template"], r["purity"]) for r in url_filter.judge(df, rules).collect()}
+
+    # /fr has no evidence: it takes the whole host's, here all blocked (20 of 20), so (20 + 1) / 24
+    got = judged([f"http://h.com/en/{n}" for n in range(20)] + ["http://h.com/fr/1", "http://h.com/fr/a/b/c", "http://g.com/fr/1"], [("h.com/en/", "block")])
+    assert got[20] == ("block", "/fr/*", 0.875) and got[21] == ("block", "/fr/a/b/c", 0.875) and got[22] == ("allow", "/fr/*", 0.25)
+    # evidence two levels up: /x is blocked against the host's rest, and its branches without evidence follow it
+    urls = [f"http://h.com/x/a/p{n}/end" for n in "abcdefghij"] + [f"http://h.com/y/b/q{n}/end" for n in "abcdefghijklmnopqrstuvwxyz"] + ["http://h.com/x/c/d", "http://h.com/z/c/d"]
+    got = judged(urls, [("h.com/x/a/", "block"), ("h.com/y/", "allow")])
+    assert got[36] == ("block", "/x/c/d", round(11 / 14, 6)) and got[37] == ("allow", "/z/c/d", round(11 / 40, 6))
+    # the part of a path beyond the fourth segment counts
+    deep = [f"http://d.com/a/b/c/d/{'bad' if n % 2 else 'good'}/w{'abcdefghijklmnopqrst'[n]}" for n in range(20)]
+    deep += ["http://d.com/a/b/c/d/bad/new/one", "http://d.com/a/b/c/d/good/new/one"]
+    got = judged(deep, [(f"d.com/a/b/c/d/{k}/w", v) for k, v in (("bad", "block"), ("good", "allow"))])
+    assert got[20][0] == "block" and got[21][0] == "allow"
