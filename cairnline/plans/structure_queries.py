@@ -71,6 +71,15 @@ def scalar_functions(spark, sf):
     return k.select("s", revcomp(s).alias("rc"), R(gc_content(s)).alias("gc"), is_palindromic(s).alias("pal"), valid_dna(s).alias("valid"), stable_hash(s).alias("h"), R(mash_distance(F.lit(0.5), 1) / F.length(s)).alias("mash"))
 
 
+@query(f"""WITH {_contigs()} SELECT genome, contig_id, sha256(reverse(translate(seq, 'ACGT', 'TGCA'))) AS rc, round(length(regexp_replace(seq, '[^GC]', '', 'g')) / length(seq), 6) AS gc,
+reverse(translate(seq, 'ACGT', 'TGCA')) = seq AS pal, true AS valid, ('0x' || substr(sha256(seq), 1, 12))::BIGINT AS h, round(greatest(0, -ln(2 * 0.5 / 1.5) / length(seq)), 6) AS mash FROM contigs WHERE length(seq) >= 4""")
+def scalar_functions_whole(spark, sf):
+    """The functions on whole sequences, a row for each contig; the reverse complement as its digest."""
+    s = F.col("seq")
+    k = A.contigs(spark, sf).filter("length >= 4")
+    return k.select("genome", "contig_id", F.sha2(revcomp(s).cast("binary"), 256).alias("rc"), R(gc_content(s)).alias("gc"), is_palindromic(s).alias("pal"), valid_dna(s).alias("valid"), stable_hash(s).alias("h"), R(mash_distance(F.lit(0.5), 1) / F.length(s)).alias("mash"))
+
+
 @query(f"""WITH {marks()}, g AS (SELECT genome, CASE WHEN step IS NOT NULL THEN greatest(step, 0) END AS gap FROM (SELECT genome, gpos - lag(gpos) OVER (PARTITION BY genome ORDER BY contig_id, pos) AS step FROM marks))
 SELECT genome, count(*) AS tags, 1::BIGINT AS enzymes, round(coalesce(avg(gap), 0), 6) AS mean_gap, round(coalesce(quantile_cont(gap, 0.5), 0), 6) AS median_gap, coalesce(max(gap), 0)::BIGINT AS max_gap FROM g GROUP BY 1""")
 def gap_stats(spark, sf):
@@ -240,6 +249,15 @@ def splitmix_hash(spark, sf):
     return splitmix64_native(k, "x", "z").select("x", F.hex("z").alias("h"))
 
 
+@query("""WITH k AS (SELECT DISTINCT doc_id AS x FROM documents), a AS (SELECT x, ((x::UHUGEINT + 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM k),
+b AS (SELECT x, ((xor(z, z >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM a), c AS (SELECT x, ((xor(z, z >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM b)
+SELECT x, hex(xor(z, z >> 31)) AS h FROM c""")
+def splitmix_hash_whole(spark, sf):
+    """Hashes of all contig ids as they are."""
+    k = A.table(spark, sf, "documents").select(F.col("doc_id").alias("x")).distinct()
+    return splitmix64_native(k, "x", "z").select("x", F.hex("z").alias("h"))
+
+
 @query()
 def fmh_landmarks(spark, sf):
     return sketch(A.contigs(spark, sf), 21, 50).select("genome", "contig_id", "pos", "seq", "strand")
