@@ -383,3 +383,11 @@ def scaffold_orientation(spark, sf):
     m = materialise(A.landmarks(spark, sf), "marks")
     size = A.contigs(spark, sf).select("contig_id", "length")
     return placement.scaffold(m.filter("genome <> 'src1'"), m.filter("genome = 'src1'"), size, 2).select("contig_id", "reverse", "shared", "median_ref")
+
+
+@query()
+def scaffold_orientation_all(spark, sf):
+    """Every source as a draft against all others."""
+    m = materialise(A.landmarks(spark, sf), "marks")
+    size = A.contigs(spark, sf).select("genome", "contig_id", "length")
+    return placement.scaffold(m, m, size, 2, key="genome").select("genome", "contig_id", "reverse", "shared", "median_ref")

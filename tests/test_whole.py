@@ -4,8 +4,10 @@ import hashlib
 
 import numpy as np
 
+from cairnline.operators import placement
 from cairnline.operators.sketch import splitmix64
 from cairnline.plans.registry import QUERIES
+from test_clusters_placement import TAGS, marks
 
 OTHER = str.maketrans("ACGT", "TGCA")
 
@@ -24,3 +26,13 @@ def test_scalars_on_whole_sequences(spark, tmp_path):
         assert got[n]["gc"] == round(sum(c in "GC" for c in s) / len(s), 6) and got[n]["h"] == int(hashlib.sha256(s.encode()).hexdigest()[:12], 16)
     want = {n: f"{int(splitmix64(np.array([n], np.uint64))[0]):X}" for n in texts}
     assert {r["x"]: r["h"] for r in QUERIES["splitmix_hash_whole"](spark, str(tmp_path)).collect()} == want
+
+
+def test_scaffold_of_every_draft(spark):
+    turned = [x[::-1].translate(OTHER) for x in TAGS[:4]]
+    m = marks(spark, "a", TAGS[:4]).unionByName(marks(spark, "b", turned)).unionByName(marks(spark, "c", TAGS[:4]))
+    sizes = spark.createDataFrame([(g, 1, n) for g, n in (("a", 500), ("b", 600), ("c", 700))], "genome string, contig_id long, length long")
+    got = {r["genome"]: (r["begin"], r["end"], r["part"], r["shared"]) for r in placement.scaffold(m, m, sizes, 2, key="genome").collect()}
+    assert {g: v[:3] for g, v in got.items()} == {"a": (1, 500, 1), "b": (1, 600, 1), "c": (1, 700, 1)}
+    alone = {g: placement.scaffold(m.filter(f"genome <> '{g}'"), m.filter(f"genome = '{g}'"), sizes.drop("genome").filter(f"length = {n}"), 2).first() for g, n in (("a", 500), ("b", 600), ("c", 700))}
+    assert {g: v[3] for g, v in got.items()} == {g: r["shared"] for g, r in alone.items()}
