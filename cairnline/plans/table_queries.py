@@ -108,7 +108,7 @@ def cluster_seeds(spark, sf):
 @query()
 def cluster_search(spark, sf):
     mine, all_ = _split(_items(spark, sf))
-    out = C.search(mine.drop("pfam", "cog").withColumn("tokens", F.filter("tokens", lambda x: ~x.startswith("PFAM") & ~x.startswith("COG"))), all_.withColumn("tokens", F.filter("tokens", lambda x: ~x.startswith("PFAM") & ~x.startswith("COG"))), 0.2, 0.0, 5)
+    out = C.search(mine, all_, 0.2, 0.0, 5)
     return out.select("q", "t", "rank", *(R(c).alias(c) for c in ("functional", "weighted", "adjacency", "order_score", "copies", "score")), "missing", "extra", "inverted", "split")
 
 
