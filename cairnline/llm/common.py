@@ -38,9 +38,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is named (tests)."""
+    """The folder that driver and executors share. One of our own only in local mode, where none is
+    named: on a cluster nobody but the driver would see it."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         place = "file://" + tempfile.mkdtemp(prefix="cairnline-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place
@@ -52,7 +55,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialise`` wrote, once nothing reads it any more."""
+    spark, path = df.sparkSession, getattr(df, "_written", None)
+    if path:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: Most rows that are broadcast; beyond it they are joined by shuffling.
+MOST_BROADCAST = 200_000
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if its rows, keys of a few dozen bytes, are few."""
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:

@@ -32,14 +32,14 @@ class Hashes:
     def __call__(self, words: list[bytes]) -> np.ndarray:
         known = self.known
         try:
-            return np.array([known[w] for w in words], np.uint64)
+            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         except KeyError:
             if len(known) > self.most:
                 known.clear()
             for w in words:
                 if w not in known:
                     known[w] = xxhash.xxh3_64_intdigest(w)
-            return np.array([known[w] for w in words], np.uint64)
+            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

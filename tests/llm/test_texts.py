@@ -63,8 +63,39 @@ def test_ngram_join_odd(odd, empty):
     got = sorted(((r["doc_id"] or 0), r["component_id"]) for r in ngram_join.near_duplicates(odd).collect())
     assert got == [(0, 1), (1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 5), (7, 1), (7, 1), (8, 8), (9, 9), (10, 10), (11, 11), (12, 12)]
     assert ngram_join.near_duplicates(empty).count() == 0
-    kept = ngram_join.one_of_each(odd)
-    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 8, 9, 10, 11, 12] and kept.columns == odd.columns
+    kept = ngram_join.one_of_each(odd)  # the row without id has the text of row 1
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [1, 2, 3, 4, 5, 8, 9, 10, 11, 12] and kept.columns == odd.columns
+
+
+def test_one_of_each_goes_by_text(make):
+    a, near, b, c = prose(40, 1), prose(40, 1) + " end", prose(40, 2), prose(40, 3)
+    rows = [(5, a), (5, b), (3, near), (7, c), (7, prose(40, 4)), (None, c), (9, b), (9, b), (None, prose(40, 5)), (None, prose(40, 5))]
+    for seed in range(3):
+        mixed = random.Random(seed).sample(rows, len(rows))
+        kept = sorted((r["doc_id"] or 0, r["text"]) for r in ngram_join.one_of_each(make(mixed)).collect())
+        assert kept == sorted([(3, near), (5, b), (7, c), (7, prose(40, 4)), (0, prose(40, 5))])
+
+
+@pytest.mark.parametrize("chunk", [4, 512])
+def test_links_of_a_large_group(make, chunk):
+    """Many edits of one text: chunks and tiles, the numbers of links, and no row for a pair."""
+    rng = random.Random(chunk)
+    base, texts = prose(60, 3).split(), []
+    for n in range(60):
+        w = list(base)
+        for _ in range(rng.choice((0, 1, 2, 3))):
+            w[rng.randrange(len(w))] = f"new{rng.randrange(30)}"
+        texts.append(" ".join(w))
+    ids = list(range(100, 160))
+    rows, classes_, members = ngram_join.linked_classes(make(list(zip(ids, texts, strict=True))), chunk=chunk)
+    s, want = sets(texts), {}
+    for a in range(60):
+        want[ids[a]] = sum(100 * len(s[a] & s[b]) >= 75 * len(s[a] | s[b]) for b in range(60) if s[b] != s[a])
+    got = {r["doc_id"]: r["links"] or 0 for r in rows.join(members, "set_key", "left").collect()}
+    assert got == want
+    named = {r["doc_id"]: r["component"] or r["set_key"] for r in rows.join(members, "set_key", "left").collect()}
+    right = classes(ids, texts)
+    assert len(set(named.values())) == len(set(right.values())) == len(set(zip(named.values(), (right[i] for i in named), strict=True)))
 
 
 def test_components(spark):
