@@ -1,17 +1,20 @@
 """Proportional stratified interleaving: every shard gets the mixture of the whole.
 
-Rows are ranked by a seeded digest within their source; a row's fractional rank says how far through
-its source it stands. Sorted by fractional rank the sources interleave in proportion, and cutting
-that order into equal runs of rows gives shards that all match the mixture (law ``rows``: row counts
-differ by one at most).
+Rows are ranked by a seeded digest within their source; a row's fractional rank, (rank - u) / n, says
+how far through its source it stands, where u from 0 to 1 is a digest of the source: sources of one row,
+or of a few, fall anywhere and not all at the same place. Sorted by fractional rank the sources
+interleave in proportion, and cutting that order into equal runs of rows gives shards that all match
+the mixture (law ``rows``: row counts differ by one at most).
 
-Neither ranking needs all rows of a source, or of the table, in one task. The digest's leading
-digits deal each source into buckets; bucket sizes, summed up, give the rank at which each bucket
-begins. The global order is dealt into equal strips of fractional rank in the same manner.
+Neither ranking needs all rows of a source, or of the table, in one task. The digest covers id, text
+checksum and size, so rows that share an id or have none are spread as well; its leading digits deal
+each source into buckets, and bucket sizes, summed up, give the rank at which each bucket begins. The
+global order is dealt into equal strips of fractional rank in the same manner.
 
 Defined results: a null source counts as the empty name; a null text has no bytes and the checksum
-of no bytes; rows with the same id are ordered by checksum, size and source, and wholly equal rows
-are interchangeable; an empty table gives no rows; extra columns are ignored.
+of no bytes; rows with the same digest are ordered by id, checksum and size, and wholly equal rows
+are interchangeable (a source's wholly equal rows share a bucket); an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,8 +38,8 @@ def interleave(docs: DataFrame, shards: int, seed: str = "interleave", buckets:
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         (F.octet_length(text) + F.lit(8)).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("h"),
-    ).withColumn("bucket", F.pmod(F.conv(F.substring("h", 1, 4), 16, 10).cast("int"), F.lit(65_536)) * F.lit(buckets) / F.lit(65_536))
+    ).withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), "doc_id", "text_crc32", "size").cast("binary")))
+    keyed = keyed.withColumn("bucket", F.pmod(F.conv(F.substring("h", 1, 4), 16, 10).cast("int"), F.lit(65_536)) * F.lit(buckets) / F.lit(65_536))
     keyed = keyed.withColumn("bucket", F.floor("bucket").cast("int"))
     in_source = Window.partitionBy("source")
     sizes = keyed.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n")).select(
@@ -47,8 +50,9 @@ def interleave(docs: DataFrame, shards: int, seed: str = "interleave", buckets:
     )
     in_bucket = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "text_crc32", "size")
     ranked = keyed.withColumn("place", F.row_number().over(in_bucket)).join(sizes, ["source", "bucket"])
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("source")).cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
     ranked = ranked.withColumn("rank", F.col("before") + F.col("place")).select(
-        "doc_id", "source", "size", "text_crc32", "rank", ((F.col("rank") * 2 - 1) / (F.col("n_source") * 2)).alias("part")
+        "doc_id", "source", "size", "text_crc32", "rank", ((F.col("rank") - u) / F.col("n_source")).alias("part")
     )
     ranked = materialise(ranked.withColumn("strip", F.floor(F.col("part") * strips).cast("int")), "interleave")
     # One row a strip, so these windows and this broadcast are bounded by ``strips``.
