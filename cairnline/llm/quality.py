@@ -5,8 +5,8 @@ lengths, capitals, signs, digits, repetition, sentence ends); gated attention, l
 documents' labels alone, weighs the encoded passages; and the weighted sum is scored. Passages are
 never labelled themselves.
 
-The training sample is bounded by ``most`` documents of ``bag`` passages each (evenly spread over
-longer ones); scoring takes all rows and all their passages, where they lie. Null and empty texts
+The training sample is bounded by ``most`` documents, of which all passages are taken (60 bytes a
+passage of 64 words); scoring takes all rows and all their passages, where they lie. Null and empty texts
 are one empty passage. Ids, sources and languages are not used. With labels of one kind only, or
 none, every score is the smoothed share of label 1.
 """
@@ -201,16 +201,14 @@ class Constant:
         return np.full(len(texts), self.share)
 
 
-def fit(sample: DataFrame, bag: int = 256) -> Attention | Constant:
+def fit(sample: DataFrame) -> Attention | Constant:
     """Fit on a sample of labelled texts; only their passages' features reach the driver."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for x, n in bags(batch.column("text").to_pylist()):
-                for one in np.split(x, np.cumsum(n)[:-1]):
-                    few = one[np.linspace(0, len(one) - 1, bag).astype(int)] if len(one) > bag else one
-                    rows.append(few.astype(np.float32).tobytes())
+                rows += [one.astype(np.float32).tobytes() for one in np.split(x, np.cumsum(n)[:-1])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary()), batch.column("y")], ["doc_id", "x", "y"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
