@@ -329,16 +329,13 @@ def payload(text: bytes) -> bytes:
 
 
 def store_bytes(data: bytes, page_rows: int = 4096) -> bytes:
-    """A payload as RGB rows; the layout follows the content's checksum, so equal payloads are
-    stored alike and every layout the reader knows is in use."""
+    """A payload as RGB rows; codec, predictor, and strips or tiles are dealt
+    evenly by the content's checksum, so equal payloads are stored alike."""
     image = np.frombuffer(data, np.uint8).reshape(-1, PIXELS, SAMPLES_STORED)
     images = [image[n: n + page_rows] for n in range(0, len(image), page_rows)]
-    k = zlib.crc32(data) % 16
-    if k == 0:
-        return write(images, LZW)
-    if k <= 2:
-        return write(images, PACKBITS)
-    return write(images, DEFLATE, 2, tile=32) if k <= 5 else write(images, DEFLATE, 1 + k % 2)
+    k = zlib.crc32(data)
+    codec, predictor, tile = (LZW, PACKBITS, DEFLATE)[k % 3], 1 + k // 3 % 2, 32 * (k // 6 % 2)
+    return write(images, codec, predictor, tile)
 
 
 def digests(docs: DataFrame) -> DataFrame:
