@@ -10,7 +10,7 @@ Texts are cut into chunks that run through the transducer side by side, one nump
 character of the longest chunk. At a space that follows another character every state goes to the
 same state with the same output, so the state map of a chunk beginning there is constant. Where no
 such place is near, a chunk is cut anyway and its map is evaluated at the state that a short run-up
-predicts; the maps are then composed along the text, and a map is evaluated at a further state
+predicts. The maps are then composed by a parallel prefix scan, and evaluated at a further state
 wherever the state arriving from the left is another one.
 
 Empty and null texts have no tokens. Memory: the transition table is bounded and begun anew when
@@ -238,22 +238,54 @@ class Transducer:
             return np.zeros(len(texts), np.int64)
         owner = np.searchsorted(ends, begin, side="right")
         end = np.minimum(np.append(begin[1:], len(chars)), ends[owner])
-        state = np.zeros(len(begin), np.int32)
+        predicted = np.zeros(len(begin), np.int32)
         bound = np.flatnonzero(tied_to_left)
         if len(bound):
-            state[bound] = self.run(chars, np.maximum(begin[bound] - run_up, starts[owner[bound]]), begin[bound], state[bound])[0]
-        last, sums = self.run(chars, begin, end, state)
-        while len(bound):  # compose: the state that arrives must be the one the map was evaluated at
-            bound = bound[last[bound - 1] != state[bound]]
-            state[bound] = last[bound - 1]
-            if len(bound):
-                last[bound], sums[bound] = self.run(chars, begin[bound], end[bound], state[bound])
-                bound = np.flatnonzero(tied_to_left)
+            predicted[bound] = self.run(chars, np.maximum(begin[bound] - run_up, starts[owner[bound]]), begin[bound], predicted[bound])[0]
+        sums = self._compose(chars, begin, end, tied_to_left, predicted)
+        head = ~tied_to_left
+        owner = owner[head]
         result = np.zeros(len(texts), np.int64)
         np.add.at(result, owner, sums)
         return result
 
 
+    def _compose(self, chars: np.ndarray, begin: np.ndarray, end: np.ndarray, tied: np.ndarray, predicted: np.ndarray) -> np.ndarray:
+        """Counts of the runs of tied chunks, one for each chunk that is not tied to its left.
+
+        The map of a chunk is a set of points (chunk, state before it) with the state after it and the
+        count. Points are composed by a prefix scan: each is linked to the point of the next tied chunk
+        at its last state, and links are doubled, adding counts, until they reach the run's end. Where a
+        map has no such point yet, it is evaluated there, and the scan repeated."""
+        more_follows = np.append(tied[1:], False)
+        chunk, state = np.arange(len(begin)), predicted.astype(np.int64)
+        last, count = self.run(chars, begin, end, predicted)
+        while True:
+            key = (chunk << 32) | state
+            order = np.argsort(key)
+            chunk, state, last, count, key = chunk[order], state[order], last[order], count[order], key[order]
+            want = ((chunk + 1) << 32) | last.astype(np.int64)
+            at = np.minimum(np.searchsorted(key, want), len(key) - 1)
+            follows = more_follows[chunk]
+            known = follows & (key[at] == want)
+            # a last point of no count stands for the end of every run
+            link = np.append(np.where(known, at, len(key)), len(key))
+            total = np.append(count, 0)
+            stop = np.append(np.where(follows & ~known, np.arange(len(key)), -1), -1)
+            while (link < len(key)).any():
+                total, stop, link = total + total[link], np.maximum(stop, stop[link]), link[link]
+            head = np.searchsorted(key, np.flatnonzero(~tied) << 32)
+            open_ends = np.unique(stop[head])  # points that some run's path stops at
+            open_ends = open_ends[open_ends >= 0]
+            if not len(open_ends):
+                return total[head]
+            fresh = np.unique(want[open_ends])
+            new_chunk, new_state = fresh >> 32, fresh & 0xFFFFFFFF
+            new_last, new_count = self.run(chars, begin[new_chunk], end[new_chunk], new_state.astype(np.int32))
+            chunk, state = np.append(chunk, new_chunk), np.append(state, new_state)
+            last, count = np.append(last, new_last), np.append(count, new_count)
+
+
 _compiled: dict[str, Transducer] = {}
 
 
