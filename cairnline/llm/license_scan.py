@@ -10,7 +10,8 @@ the sorted template hashes; templates are a parameter whose size is checked. Onl
 travel further. Places of exact phrases (base labels) are found in the same pass.
 
 Defined results: null text is empty; a text without words has null positions, no labels and score 0;
-rows with equal ids and texts get equal results; templates under k words never vote.
+rows with equal ids and texts get equal results; templates under k words never vote. The score is the
+best share found of any template's words, or 1 where a phrase stands.
 """
 
 from __future__ import annotations
@@ -28,31 +29,46 @@ from .wordhash import alnum_words, runs, split_hashes, word_hashes
 
 K = 3
 MOST_TEMPLATE_WORDS = 1_000_000
-# Opening lines of public licenses' notices, by label.
+# Notices of public licenses by label, whole or (the last of each kind) as authors shorten them.
+_PERMIT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"
+_MIT_AS_IS = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+_REDISTRIBUTE = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+_BSD_1_2 = "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_3 = "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_AS_IS = "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
 TEMPLATES = [
+    ("mit", f"{_PERMIT} {_MIT_AS_IS}"),
+    ("mit", _PERMIT.split(" the software to deal")[0]),
     ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("bsd-2", f"{_REDISTRIBUTE} {_BSD_1_2} {_BSD_AS_IS}"),
+    ("bsd-3", f"{_REDISTRIBUTE} {_BSD_1_2} {_BSD_3} {_BSD_AS_IS}"),
+    ("bsd", _REDISTRIBUTE),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     ("apache-2", "licensed under the apache license version 2 0"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program if not see https www gnu org licenses"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "this work is licensed under the gnu general public license version 3"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 PHRASES = [("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc")]
 
 
 def common_words(a: list, b: list) -> int:
-    """Length of the longest common subsequence."""
-    last = [0] * (len(b) + 1)
-    for x in a:
-        row = [0]
-        for n, y in enumerate(b):
-            row.append(last[n] + 1 if x == y else max(last[n + 1], row[n]))
-        last = row
-    return last[-1]
+    """Length of the longest common subsequence, a row of the table at a time as the bits of a number."""
+    places: dict = {}
+    for n, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << n
+    row, whole = (1 << len(a)) - 1, (1 << len(a)) - 1
+    for y in b:
+        hit = row & places.get(y, 0)
+        row = ((row + hit) | (row - hit)) & whole
+    return len(a) - row.bit_count()
 
 
 def scan(
@@ -130,7 +146,7 @@ def scan(
                 for s in each:
                     t = words[s["template"]]
                     begin = max(0, min(s["begin"], s["diagonal"]))
-                    part = w[begin: max(s["end"], begin + len(t) + drift)][: 4 * len(t) + 4 * drift]
+                    part = w[begin: max(s["end"], begin + len(t) + drift)]
                     share = common_words(t, part) / len(t)
                     best = max(best, share)
                     if share >= least:
