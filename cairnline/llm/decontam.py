@@ -122,16 +122,17 @@ def contaminated(
     def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             each = split_hashes([alnum_words(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()], word_hashes)
-            at, seed = [], []
+            at, seed, places = [], [], []
             for n, h in enumerate(each):
-                r = np.unique(runs(h, min(least, len(h)) or 1).view(np.int64)).tolist()
+                r, many = np.unique(runs(h, min(least, len(h)) or 1).view(np.int64), return_counts=True)
                 at += [n] * len(r)
-                seed += r
+                seed += r.tolist()
+                places += many.tolist()
             sizes = pa.array([len(h) for h in each], pa.int32())
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("item_id").take(take), sizes.take(take), pa.array(seed, pa.int64())], ["item_id", "n_item", "seed"])
+            yield pa.RecordBatch.from_arrays([batch.column("item_id").take(take), sizes.take(take), pa.array(seed, pa.int64()), pa.array(places, pa.int64())], ["item_id", "n_item", "seed", "places"])
 
-    seeds = materialise(items.select("item_id", F.col("text").cast("string")).mapInArrow(item_seeds, f"item_id {item_kind}, n_item int, seed long"), "seeds")
+    seeds = materialise(items.select("item_id", F.col("text").cast("string")).mapInArrow(item_seeds, f"item_id {item_kind}, n_item int, seed long, places long"), "seeds")
     counts = {r["n_item"]: r["n"] for r in seeds.filter(f"n_item < {least}").groupBy("n_item").agg(F.count(F.lit(1)).alias("n")).collect()}
     short = sorted(int(n) for n in counts if n)
     small = seeds.select("seed").distinct().limit(most_seeds + 1).count() <= most_seeds
@@ -157,29 +158,29 @@ def contaminated(
     seeded = docs.select(text_key().alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     seeded = seeded.mapInArrow(hashed, "key string, seeds array<long>, text binary")
     seeded = materialise(seeded.groupBy("key").agg(F.first("seeds").alias("seeds"), F.first("text").alias("text")), "seeded")
-    pairs = seeded.select("key", F.explode("seeds").alias("seed")).join(seeds, "seed").select("key", "item_id").distinct()
-    wanted = pairs.join(items.select("item_id", F.col("text").cast("binary").alias("item")), "item_id")
-    wanted = wanted.groupBy("key").agg(F.collect_list(F.struct("item_id", "item")).alias("items")).join(seeded.select("key", "text"), "key")
+    # A tile of n words begins or goes through n - least + 1 places of the item where a seed stands, so
+    # tiles of the coverage asked for need a share of such places; pairs with fewer end here, before texts move.
+    enough = F.sum("places") * least >= F.ceil(F.lit(coverage) * F.first("n_item"))
+    pairs = seeded.select("key", F.explode("seeds").alias("seed")).join(seeds, "seed").groupBy("key", "item_id").agg(enough.alias("enough")).filter("enough")
+    wanted = pairs.select("key", "item_id").join(items.select("item_id", F.col("text").cast("binary").alias("item")), "item_id")
+    wanted = wanted.join(seeded.select("key", "text"), "key")
 
     def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 200):
             rows, at = [], []
-            ids = []
-            for n, (body, each) in enumerate(zip(batch.column("text").to_pylist(), batch.column("items").to_pylist(), strict=True)):
-                (h,) = split_hashes([alnum_words(body)], word_hashes)
-                for one in each:
-                    (q,) = split_hashes([alnum_words(one["item"])], word_hashes)
-                    tiles = tile(q, h, max(1, min(least, len(q))))
-                    share = sum(t[2] for t in tiles) / max(1, len(q))
-                    if share >= coverage:
-                        at.append(n)
-                        ids.append(one["item_id"])
-                        rows.append((share, len(tiles), max(t[2] for t in tiles), len(q)))
+            texts = split_hashes([alnum_words(t) for t in batch.column("text").to_pylist()], word_hashes)
+            each = split_hashes([alnum_words(t) for t in batch.column("item").to_pylist()], word_hashes)
+            for n, (h, q) in enumerate(zip(texts, each, strict=True)):
+                tiles = tile(q, h, max(1, min(least, len(q))))
+                share = sum(t[2] for t in tiles) / max(1, len(q))
+                if share >= coverage:
+                    at.append(n)
+                    rows.append((share, len(tiles), max(t[2] for t in tiles), len(q)))
             kinds = [pa.float64(), pa.int32(), pa.int32(), pa.int32()]
             columns = [pa.array([r[n] for r in rows], t) for n, t in enumerate(kinds)]
-            kind = batch.schema.field("items").type.value_type.field(0).type
+            take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key").take(pa.array(at, pa.int64())), pa.array(ids, kind), *columns], ["key", "item_id", "coverage", "tiles", "longest", "n_item"]
+                [batch.column("key").take(take), batch.column("item_id").take(take), *columns], ["key", "item_id", "coverage", "tiles", "longest", "n_item"]
             )
 
     found = materialise(wanted.mapInArrow(tiled, f"key string, item_id {item_kind}, coverage double, tiles int, longest int, n_item int"), "tiles")
