@@ -34,6 +34,33 @@ def test_sharding(make, odd, empty):
         sharding.interleave(empty, 0)
 
 
+def test_sharding_of_many_small_sources(make):
+    """One large source and many of one row: every shard gets its share of both."""
+    docs = make([(n, f"t{n}", "large") for n in range(1200)] + [(5000 + n, "x", f"one{n}") for n in range(1200)] + [(None, f"n{n}", "nameless") for n in range(240)])
+    rows = sharding.interleave(docs, 24).collect()
+    count = lambda keep: np.bincount([r["shard"] for r in rows if keep(r["source"])], minlength=24)
+    # a shard is 110 rows in a row of the order, so its share of a source is right within a few rows
+    assert abs(count(lambda s: s == "large") - 50).max() <= 15 and abs(count(lambda s: s.startswith("one")) - 50).max() <= 15
+    assert abs(count(lambda s: s == "nameless") - 10).max() <= 4
+    sizes = count(lambda s: True)
+    assert sizes.max() - sizes.min() <= 1
+
+    def rank(r):  # the same ranking in plain Python
+        return hashlib.md5(":".join(["interleave", *([str(r["doc_id"])] if r["doc_id"] is not None else []), str(r["text_crc32"]), str(r["size"])]).encode()).hexdigest()
+
+    by_source = {}
+    for r in rows:
+        by_source.setdefault(r["source"], []).append(r)
+    order = []
+    for source, each in by_source.items():
+        u = int(hashlib.md5(f"interleave:{source}".encode()).hexdigest()[:8], 16) / 2**32
+        order += [((n + 1 - u) / len(each), source, n, r) for n, r in enumerate(sorted(each, key=rank))]
+    order.sort(key=lambda o: o[:3])
+    for at, (*_, r) in enumerate(order):
+        shard = at * 24 // len(order)
+        assert r["shard"] == shard and r["slot"] == at - -(-shard * len(order) // 24)
+
+
 def test_plan_packs_well():
     rng = random.Random(3)
     counts = {}
@@ -92,6 +119,19 @@ def test_token_counts_agree(seed):
     assert token_count.count_texts(texts, path).tolist() == [len(x) for x in sp.encode(texts)]
 
 
+def test_token_maps_compose():
+    """Short chunks cut anywhere, without run-up: maps are evaluated at many states and composed."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(a) for _ in range(600)) for a in ("ab", "thequickbrown", "x\u00e9\u65e5\u672c ", "aaaa", "  0123") for _ in range(4)]
+    want = [len(x) for x in sentencepiece.SentencePieceProcessor(model_file=path).encode(texts)]
+    marked = [chr(0x2581) + t.replace(" ", chr(0x2581)) for t in texts]
+    for run_up in (0, 1, 9):
+        assert token_count.transducer(path).count(marked, near=3, far=7, run_up=run_up).tolist() == want
+
+
 def test_token_count_query(odd, empty):
     import sentencepiece
 

@@ -135,10 +135,26 @@ def test_tiles():
             cells = [t[side] + k for t in tiles for k in range(t[2])]
             assert len(cells) == len(set(cells))
         assert sum(t[2] for t in tiles) >= 0.8 * brute_tiles(item.tolist(), text.tolist(), 3)
+    for _ in range(60):  # every word once in the item: each match has one place, and greedy tiling one result
+        item = np.array(rng.sample(range(100), rng.randint(1, 40)), np.uint64)
+        cut = sorted(rng.sample(range(len(item) + 1), min(len(item), 3)))
+        parts = np.split(item, cut) + [np.array([200 + k], np.uint64) for k in range(4)]
+        rng.shuffle(parts)
+        text = np.concatenate(parts)
+        assert sum(t[2] for t in decontam.tile(item, text, 3)) == brute_tiles(item.tolist(), text.tolist(), 3)
     same = np.arange(80, dtype=np.uint64)
     assert decontam.tile(same, np.concatenate([same[40:], same[:40]]), 5) in ([(40, 0, 40), (0, 40, 40)], [(0, 40, 40), (40, 0, 40)])
 
 
+def test_decontamination_with_a_seed_in_all_items(spark, make):
+    """A run of words common to all items pairs no text with an item it holds too little of."""
+    common = prose(6, 70)
+    items = [f"{common} {prose(30, 71 + n)}" for n in range(20)]
+    bench = spark.createDataFrame([(n, t) for n, t in enumerate(items)], "item_id long, text string")
+    docs = make([(1, f"a {common} b"), (2, items[3]), (3, " ".join(items[4].split()[:20]))])
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.report(docs, bench).collect()} == {(2, 3), (3, 4)}
+
+
 def test_decontamination(spark, make, odd, empty):
     items = [prose(40, 50), prose(25, 51), "two words", "", None, prose(40, 50)]
     bench = spark.createDataFrame([(n, t, 1) for n, t in enumerate(items)], "item_id long, text string, key long")
@@ -155,6 +171,46 @@ def test_decontamination(spark, make, odd, empty):
     assert decontam.clean(odd, bench).columns == odd.columns
 
 
+def test_license_votes_against_brute_force(make):
+    """Notices with words changed, dropped and put in, near the threshold."""
+    rng = random.Random(8)
+    texts, want = [], []
+    for n in range(60):
+        label, notice = license_scan.TEMPLATES[n % len(license_scan.TEMPLATES)]
+        w = notice.split()
+        for _ in range(int(len(w) * rng.choice((0, 0.1, 0.2, 0.3, 0.4)))):
+            at = rng.randrange(len(w))
+            w[at: at + 1] = rng.choice(([], ["other"], [w[at], "more"]))
+        w = prose(20, n).split() + w + prose(20, n + 99).split()
+        texts.append(" ".join(w))
+        found = {lab for lab, p in license_scan.PHRASES if f" {p} " in f" {' '.join(w)} "}
+        for lab, t in license_scan.TEMPLATES:
+            t = t.split()
+            votes = {}
+            for a in range(len(t) - 2):
+                for b in range(len(w) - 2):
+                    if t[a: a + 3] == w[b: b + 3]:
+                        votes.setdefault(b - a, []).append(b)
+            line = []
+            for d in sorted(votes) + [10**9]:
+                if line and d - line[-1] > 2:
+                    begin, end = min(min(votes[x]) for x in line), max(max(votes[x]) for x in line) + 3
+                    begin = max(0, min(begin, line[0]))
+                    part, last = w[begin: max(end, begin + len(t) + 2)], [0] * (len(t) + 1)
+                    for x in part:
+                        row = [0]
+                        for k, y in enumerate(t):
+                            row.append(last[k] + 1 if x == y else max(last[k + 1], row[k]))
+                        last = row
+                    if last[-1] / len(t) >= 0.75:
+                        found.add(lab)
+                    line = []
+                line.append(d)
+        want.append(",".join(sorted(found)))
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(make(list(enumerate(texts)))).collect()}
+    assert [got[n] for n in range(60)] == want and len(set(want)) > 10
+
+
 def test_license_scan(make, odd, empty):
     texts = {
         1: "Code. Released under the MIT License. MIT License, under the MIT license!", 2: "licensed under the Apache-License, version 2", 3: "CC BY-NC 4.0", 4: "This work is licensed under the very GNU General Public License, version 3",
