@@ -6,8 +6,9 @@ is written as Parquet and read again as the next one's ``docs``; all but the las
 ``docs`` and whole rows of it.
 
 Defined results: null and empty texts are scored as empty texts, have no near copies and no benchmark
-passages, and are packed as a lone end mark; of rows with one id that are one document's copies, one
-stays; rows without an id are never dropped as copies; an empty table gives an empty result.
+passages, and are packed as a lone end mark; copies are told by their texts, never by ids: of the rows
+of a group one stays, the one with the smallest id (rows without an id come last), and rows with one id
+and unrelated texts all stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
