@@ -20,8 +20,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     y = F.col(label).cast("int")
     known = labels.select("doc_id", y.alias("y")).filter(F.col("doc_id").isNotNull() & y.isin(0, 1) & ~held_out())
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
-    share = min(1.0, most / max(1, known.count()))
-    chosen = known.filter(F.xxhash64(F.lit("sample"), "doc_id") <= int((2 * share - 1) * (2**63 - 1)))  # a share of all 64-bit numbers
+    # the first ``most`` of so many equal parts of all 64-bit numbers
+    upto = min(2**63 - 1, most * 2**64 // max(1, known.count()) - 2**63)
+    chosen = known.filter(F.xxhash64(F.lit("sample"), "doc_id") <= F.lit(upto))
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     return docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id")
 
