@@ -74,20 +74,23 @@ def seeds(query_tokens: DataFrame, target_tokens: DataFrame, query_pairs: DataFr
     return by_token.unionByName(by_pair).distinct()
 
 
-def token_overlap(pairs: DataFrame, query_tokens: DataFrame, target_tokens: DataFrame) -> DataFrame:
+def token_overlap(pairs: DataFrame | None, query_tokens: DataFrame, target_tokens: DataFrame) -> DataFrame:
     """Counts over tokens for each candidate pair: shared, sums of the smaller and larger weights and
-    differences over shared tokens, and each side's totals."""
+    differences over shared tokens, the largest weight shared, and each side's totals. Without ``pairs``,
+    all pairs that share a token."""
     weight = token_weight(F.col("token"))
     total = lambda t, p: t.groupBy("cluster").agg(F.count(F.lit(1)).alias(f"{p}_kinds"), F.sum("n").alias(f"{p}_n"), F.sum(weight * F.col("n")).alias(f"{p}_weight")).withColumnRenamed("cluster", p)
     a = query_tokens.select(F.col("cluster").alias("q"), "token", F.col("n").alias("x"))
     b = target_tokens.select(F.col("cluster").alias("t"), "token", F.col("n").alias("y"))
     low, high = F.least("x", "y"), F.greatest("x", "y")
-    both = pairs.join(a, "q").join(b, ["t", "token"]).groupBy("q", "t").agg(
-        F.count(F.lit(1)).alias("shared"), F.sum(weight * low).alias("low"), F.sum(weight * high).alias("high"), F.sum(high - low).alias("apart"),
+    met = a.join(b, "token") if pairs is None else pairs.join(a, "q").join(b, ["t", "token"])
+    both = met.groupBy("q", "t").agg(
+        F.max(weight).alias("heaviest"), F.count(F.lit(1)).alias("shared"), F.sum(weight * low).alias("low"), F.sum(weight * high).alias("high"), F.sum(high - low).alias("apart"),
         F.sum("x").alias("shared_x"), F.sum("y").alias("shared_y"),
     )
-    zero = ["shared", "low", "high", "apart", "shared_x", "shared_y"]
-    return pairs.join(both, ["q", "t"], "left").na.fill(0, zero).join(total(query_tokens, "q"), "q", "left").join(total(target_tokens, "t"), "t", "left")
+    zero = ["heaviest", "shared", "low", "high", "apart", "shared_x", "shared_y"]
+    all_ = both if pairs is None else pairs.join(both, ["q", "t"], "left").na.fill(0, zero)
+    return all_.join(total(query_tokens, "q"), "q", "left").join(total(target_tokens, "t"), "t", "left")
 
 
 def token_scores(overlap: DataFrame, twice: bool) -> DataFrame:
@@ -162,9 +165,13 @@ def shared_order(pairs: DataFrame, query_items: DataFrame, target_items: DataFra
 
 def score_pairs(pairs: DataFrame, query_items: DataFrame, target_items: DataFrame, twice: bool = False, min_functional: float = 0.0, min_adjacency: float = 0.0) -> DataFrame:
     """All scores of pairs ``q, t``. Cheap scores are filtered before order is compared."""
-    qt, tt = token_counts(query_items), token_counts(target_items)
-    cheap = token_scores(token_overlap(pairs, qt, tt), twice).filter(F.col("functional") >= min_functional)
-    near = pair_scores(cheap.select("q", "t"), adjacencies(query_items), adjacencies(target_items)).filter(F.col("adjacency") >= min_adjacency)
+    cheap = token_scores(token_overlap(pairs, token_counts(query_items), token_counts(target_items)), twice).filter(F.col("functional") >= min_functional)
+    return _ordered(cheap, query_items, target_items, adjacencies(query_items), adjacencies(target_items), min_adjacency)
+
+
+def _ordered(cheap: DataFrame, query_items: DataFrame, target_items: DataFrame, query_pairs: DataFrame, target_pairs: DataFrame, min_adjacency: float) -> DataFrame:
+    """Pairs with cheap scores, with those of adjacency and order and the whole score."""
+    near = pair_scores(cheap.select("q", "t"), query_pairs, target_pairs).filter(F.col("adjacency") >= min_adjacency)
     good = materialise(cheap.join(near, ["q", "t"]), "scored")
     order = projected_order(shared_order(good, query_items, target_items))
     out = good.join(order, ["q", "t"])
@@ -175,13 +182,22 @@ def score_pairs(pairs: DataFrame, query_items: DataFrame, target_items: DataFram
     )
 
 
-def search(query_items: DataFrame, target_items: DataFrame, min_functional: float = 0.0, min_adjacency: float = 0.0, most: int = 10) -> DataFrame:
-    """Best targets of each query cluster: seeds, cheap scores, filters, order, rank."""
-    pairs = materialise(seeds(token_counts(query_items), token_counts(target_items), adjacencies(query_items), adjacencies(target_items)), "seeds")
-    scored = score_pairs(pairs, query_items, target_items, True, min_functional, min_adjacency)
+def search(query_items: DataFrame, target_items: DataFrame, min_functional: float = 0.0, min_adjacency: float = 0.0, most: int = 10, seed_weight: float = 2.0) -> DataFrame:
+    """Best targets of each query cluster: seeds, cheap scores, filters, order, rank.
+
+    Seeds and token scores come from one join on tokens, combined before it shuffles: a pair is a seed if
+    its heaviest shared token has the weight, or if it shares an adjacency, which is two shared tokens."""
+    qt, tt = materialise(token_counts(query_items), "tokens"), materialise(token_counts(target_items), "tokens")
+    qa, ta = materialise(adjacencies(query_items), "adjacencies"), materialise(adjacencies(target_items), "adjacencies")
+    met = materialise(token_scores(token_overlap(None, qt, tt), True).filter(F.col("functional") >= min_functional), "met")
+    by_pair = qa.withColumnRenamed("cluster", "q").join(ta.withColumnRenamed("cluster", "t"), ["a", "b"]).select("q", "t").distinct()
+    light = met.filter(F.col("heaviest") < seed_weight).join(by_pair, ["q", "t"], "left_semi").select(*met.columns)
+    cheap = materialise(met.filter(F.col("heaviest") >= seed_weight).unionByName(light), "cheap")
+    scored = _ordered(cheap, query_items, target_items, qa, ta, min_adjacency)
     span = lambda items, p: cluster_table(items).select(F.col("cluster").alias(p), (F.col("end") - F.col("start") + 1).alias(f"{p}_span"), F.col("genome_id").alias(f"{p}_genome"), F.col("contig_id").alias(f"{p}_contig"))
     out = scored.join(span(query_items, "q").drop("q_genome", "q_contig"), "q").join(span(target_items, "t"), "t").withColumn("split", F.col("t_span") * 2 < F.col("q_span"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "t"))
+    # scores that differ by their last bits only are ties
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.round("score", 9).desc(), "t"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= max(1, most)).drop("q_span", "t_span")
 
 

@@ -6,51 +6,89 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .catalog import SKETCH, Enzyme, overlapping
+from .catalog import SKETCH, Enzyme
 
+PARTS = re.compile(r"(\[[A-Z]+\]|[A-Z]+)(?:\{(\d+)\})?")
 #: Landmark rows: series, contig, place in file order, position in the contig, letters, source, strand.
 LANDMARKS = "genome string, contig_id long, ord long, pos long, seq string, enzyme string, strand string"
 
 
+def _anchors(pattern: str) -> list[tuple[int, str]]:
+    """The places of a pattern that not every base fits, and the bases that do."""
+    at, out = 0, []
+    for letters, count in PARTS.findall(pattern):
+        each = [letters] if letters[0] == "[" else list(letters)
+        for part in each:
+            bases = part.strip("[]")
+            out += [(at + n, bases) for n in range(int(count or 1)) if bases != "ACGT"]
+            at += int(count or 1)
+    return out
+
+
+def _starts(text: np.ndarray, unknown: np.ndarray, enzyme: Enzyme) -> tuple[np.ndarray, np.ndarray]:
+    """Where a window of known bases fits the enzyme, and whether it fits the forward pattern."""
+    n = len(text) - enzyme.length + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    fits = []
+    for _, pattern in enzyme.patterns:
+        at = np.ones(n, bool)
+        for place, bases in _anchors(pattern):
+            here = text[place: place + n]
+            at &= reduce(np.logical_or, (here == ord(c) for c in bases))
+        fits.append(at)
+    found = np.flatnonzero(reduce(np.logical_or, fits))
+    found = found[unknown[found + enzyme.length] == unknown[found]]
+    return found, fits[0][found]
+
+
 def digest(contigs: DataFrame, enzymes: list[Enzyme], truncate: int | None = None) -> DataFrame:
     """Landmarks of ``contigs`` (genome, contig_id, seq), in the order of enzymes, then positions.
 
-    One pass over each sequence in Arrow batches, with no shuffle. The forward pattern wins where both
-    match. ``truncate`` cuts longer landmarks to that length."""
+    One pass in Arrow batches, with no shuffle: a batch's sequences stand end to end, a separator
+    between them, and are searched at once. The forward pattern wins where both match. ``truncate`` cuts
+    longer landmarks to that length."""
     ship(contigs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [(e.name, [(s, overlapping(p)) for s, p in e.patterns]) for e in enzymes]
         names = ["genome", "contig_id", "ord", "pos", "seq", "enzyme", "strand"]
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+        kind = pa.array([e.name for e in enzymes], pa.string())
         for batch in batches:
-            out: list[list] = [[] for _ in names]
-            for genome, contig, seq in zip(*(batch.column(n).to_pylist() for n in range(3)), strict=True):
-                place = 0
-                for name, patterns in compiled:
-                    found: dict[int, tuple[str, str]] = {}
-                    for strand, pattern in patterns:
-                        for m in pattern.finditer(seq or ""):
-                            found.setdefault(m.start(), (m.group(1), strand))
-                    for pos in sorted(found):
-                        tag, strand = found[pos]
-                        for column, v in zip(out, (genome, contig, place, pos, tag[:truncate], name, strand), strict=True):
-                            column.append(v)
-                        place += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
-
-    return contigs.select("genome", F.col("contig_id").cast("long"), "seq").mapInArrow(run, LANDMARKS)
+            seqs = [(s or "").encode("ascii", "replace") for s in batch.column("seq").to_pylist()]
+            text = np.frombuffer(b"\n".join(seqs), np.uint8)
+            begin = np.cumsum([0, *(len(s) + 1 for s in seqs)])[:-1]
+            unknown = np.append(0, np.cumsum(~np.isin(text, np.frombuffer(b"ACGT", np.uint8))))
+            hits = [_starts(text, unknown, e) for e in enzymes]
+            at = np.concatenate([h[0] for h in hits])
+            plus = np.concatenate([h[1] for h in hits])
+            which = np.repeat(np.arange(len(enzymes)), [len(h[0]) for h in hits])
+            contig = np.searchsorted(begin, at, side="right") - 1
+            order = np.lexsort((at, which, contig))
+            at, plus, which, contig = at[order], plus[order], which[order], contig[order]
+            first = np.flatnonzero(np.append(True, contig[1:] != contig[:-1])) if len(at) else at
+            place = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+            width = np.array([min(e.length, truncate or e.length) for e in enzymes], np.int64)[which]
+            edge = np.append(0, np.cumsum(width))
+            letters = text[np.repeat(at - edge[:-1], width) + np.arange(edge[-1])]
+            tags = pa.StringArray.from_buffers(len(at), pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(letters.tobytes()))
+            row = pa.array(contig)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("genome").take(row), batch.column("contig_id").take(row), pa.array(place), pa.array(at - begin[contig]), tags, kind.take(pa.array(which)), pa.array(np.where(plus, "+", "-").tolist(), pa.string())], names
+            )
+
+    return contigs.select(F.col("genome").cast("string"), F.col("contig_id").cast("long"), "seq").mapInArrow(run, LANDMARKS)
 
 
 def _anchored(seq: Column, start: Column, pattern: str) -> Column:
     """Whether the fixed and ambiguous letters of a pattern stand where they belong."""
     at, ok = 0, F.lit(True)
-    for letters, count in re.findall(r"(\[[A-Z]+\]|[A-Z]+)(?:\{(\d+)\})?", pattern):
+    for letters, count in PARTS.findall(pattern):
         if letters[0] != "[":
             ok = ok & (F.substring(seq, start + at, F.lit(len(letters))) == letters)
             at += len(letters)

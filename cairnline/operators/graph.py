@@ -45,7 +45,12 @@ def common_tags(landmarks: DataFrame) -> DataFrame:
 
 def near_pairs(kinds: DataFrame, distance: int) -> DataFrame:
     """Pairs ``a < b`` of letter sequences within a Hamming distance: they agree in one of distance + 1
-    equal pieces, on which they are joined, and are then compared."""
+    equal pieces, on which they are joined, and are then compared. At distance 1 they are joined on all
+    but one letter instead, which needs no comparison and meets only true pairs."""
+    if distance == 1:
+        masks = F.explode(F.expr("transform(sequence(1, length(seq)), n -> overlay(seq placing '*' from n for 1))")).alias("mask")
+        one = kinds.filter(F.length("seq") > 0).select("seq", masks)
+        return one.withColumnRenamed("seq", "a").join(one.withColumnRenamed("seq", "b"), "mask").filter("a < b").select("a", "b").distinct()
     piece = lambda n: F.struct(F.lit(n).alias("n"), F.length("seq").alias("l"), F.expr(f"substring(seq, length(seq) * {n} div {distance + 1} + 1, length(seq) * {n + 1} div {distance + 1} - length(seq) * {n} div {distance + 1})").alias("p"))
     cut = kinds.select("seq", F.explode(F.array(*(piece(n) for n in range(distance + 1)))).alias("piece"))
     both = cut.withColumnRenamed("seq", "a").join(cut.withColumnRenamed("seq", "b"), "piece").filter("a < b").select("a", "b").distinct()
@@ -64,7 +69,8 @@ def tolerant_tags(landmarks: DataFrame, distance: int) -> DataFrame:
 
 def linear_paths(edge_table: DataFrame) -> DataFrame:
     """``path_id, path``: maximal unbranched chains of the undirected simple graph, ends included. A
-    path runs from its smaller end; a ring from its smallest node towards the smaller neighbour.
+    path runs from its smaller end; a ring from its smallest node towards the smaller neighbour. A path is
+    named by its first step, which no other path has.
 
     Inner nodes (two neighbours) are tied together as components; one task orders one chain."""
     ship(edge_table.sparkSession)
@@ -96,7 +102,7 @@ def linear_paths(edge_table: DataFrame) -> DataFrame:
             path.append(here)
             if len(path) > len(near):
                 break
-        return pd.DataFrame({"path_id": [min(path)], "path": [path]})
+        return pd.DataFrame({"path_id": [">".join(path[:2])], "path": [path]})
 
     return named.groupBy("chain").applyInPandas(order, "path_id string, path array<string>")
 

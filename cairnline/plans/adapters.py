@@ -7,6 +7,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import revcomp
 from ..operators.catalog import ENZYMES
 from ..operators.digest import digest
 from ..operators.series import contig_offsets, on_series
@@ -14,6 +15,10 @@ from ..operators.series import contig_offsets, on_series
 LETTERS = string.ascii_lowercase + string.ascii_uppercase
 BASES = "".join("ACGT"[n % 26 % 4] for n in range(52))
 DENSE, SPARSE = "HaeIV", "BcgI"
+#: Its site is found on a turned sequence where it was on the plain one, as not every catalogued site is.
+SYMMETRIC = "CjeI"
+#: In place of a grouping column: three series built from all documents, with known differences.
+BUILT = "built"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +29,22 @@ def contigs(spark: SparkSession, sf_dir: str, genome: str = "source") -> DataFra
     """Documents as contigs: letters become bases, the rest goes. ``genome``: the column that groups
     them into series."""
     seq = F.regexp_replace(F.translate("text", LETTERS, BASES), "[^ACGT]", "")
+    if genome == BUILT:
+        return _built(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("contig_id"), seq.alias("seq")))
     d = table(spark, sf_dir, "documents").select(F.col(genome).alias("genome"), F.col("doc_id").alias("contig_id"), seq.alias("seq"))
     return d.withColumn("length", F.length("seq").cast("long"))
 
 
+def _built(plain: DataFrame) -> DataFrame:
+    """Every sequence as it is, with its middle third turned round, and with every 61st base an A."""
+    n = F.expr("length(seq) div 3")
+    third = lambda k: F.substring("seq", n * k + 1, n)
+    turned = F.concat(third(0), revcomp(third(1)), F.expr("substring(seq, 2 * (length(seq) div 3) + 1)"))
+    kinds = {"a_plain": F.col("seq"), "b_turned": turned, "c_changed": F.regexp_replace("seq", "([ACGT]{60})[ACGT]", "$1A")}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("genome"), v.alias("seq")) for k, v in kinds.items()))).alias("s")
+    return plain.select("contig_id", each).select("s.genome", "contig_id", "s.seq").withColumn("length", F.length("seq").cast("long"))
+
+
 def landmarks(spark: SparkSession, sf_dir: str, enzyme: str = DENSE, genome: str = "source") -> DataFrame:
     """Landmarks with their places on the contig (``pos``) and the series (``gpos``)."""
     c = contigs(spark, sf_dir, genome)

@@ -16,9 +16,16 @@ from .registry import query
 R = lambda c: F.round(c, 6)
 
 
+#: Each document three times: as it is, with its middle third turned round, and with every 61st base an A.
+BUILT = f"""plain AS (SELECT doc_id AS contig_id, regexp_replace(translate(text, '{A.LETTERS}', '{A.BASES}'), '[^ACGT]', '', 'g') AS seq FROM documents),
+contigs AS (SELECT 'a_plain' AS genome, contig_id, seq FROM plain UNION ALL SELECT 'b_turned', contig_id, substr(seq, 1, length(seq) // 3) || reverse(translate(substr(seq, length(seq) // 3 + 1, length(seq) // 3), 'ACGT', 'TGCA')) || substr(seq, 2 * (length(seq) // 3) + 1) FROM plain
+UNION ALL SELECT 'c_changed', contig_id, regexp_replace(seq, '([ACGT]{{60}})[ACGT]', '\\1A', 'g') FROM plain)"""
+
+
 def _contigs(genome: str = "source") -> str:
-    return f"""contigs AS (SELECT {genome} AS genome, doc_id AS contig_id,
-  regexp_replace(translate(text, '{A.LETTERS}', '{A.BASES}'), '[^ACGT]', '', 'g') AS seq FROM documents),
+    own = BUILT if genome == A.BUILT else f"""contigs AS (SELECT {genome} AS genome, doc_id AS contig_id,
+  regexp_replace(translate(text, '{A.LETTERS}', '{A.BASES}'), '[^ACGT]', '', 'g') AS seq FROM documents)"""
+    return f"""{own},
 placed AS (SELECT genome, contig_id, length(seq) AS length,
   coalesce(sum(length(seq)) OVER (PARTITION BY genome ORDER BY contig_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM contigs)"""
 
@@ -137,7 +144,8 @@ def synteny_matrix(spark, sf):
     return structure.synteny_matrix(A.landmarks(spark, sf)).select("ga", "gb", R("synteny").alias("synteny"))
 
 
-STRUCTURE = f"""WITH {marks()},
+def _structure(enzyme: str = A.DENSE, genome: str = "source") -> str:
+    return f"""WITH {marks(enzyme, genome)},
 u AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY genome, canon) AS copies FROM marks) WHERE copies = 1),
 met AS (SELECT a.genome AS ga, b.genome AS gb, canon FROM u a JOIN u b USING (canon) WHERE a.genome < b.genome),
 few AS (SELECT ga, gb FROM met GROUP BY 1, 2 HAVING count(*) >= 2),
@@ -160,6 +168,9 @@ split AS (SELECT DISTINCT p.ga, p.gb, p.x AS k1, q.x AS k2 FROM lonez p JOIN lon
 junctions AS (SELECT i.ga, i.gb, pos_a AS pos FROM ina i ANTI JOIN split USING (ga, gb, k1, k2) WHERE pos_b IS NULL AND obs AND NOT lone)"""
 
 
+STRUCTURE = _structure()
+
+
 @query(f"""{STRUCTURE}, c AS (SELECT ga, gb, count(pos_a) AS na, count(pos_b) AS nb, count(*) FILTER (pos_a IS NOT NULL AND pos_b IS NOT NULL) AS conserved, count(*) AS either FROM adj GROUP BY 1, 2),
 o AS (SELECT ga, gb, count(*) FILTER (obs) AS observable FROM ina GROUP BY 1, 2), j AS (SELECT ga, gb, count(*) AS breakpoints FROM junctions GROUP BY 1, 2),
 m AS (SELECT ga, gb, canon, bool_or(pal) AS pal, count(*) FILTER (rc) = 1 AS flipped FROM kept GROUP BY 1, 2, 3),
@@ -179,6 +190,12 @@ def junctions(spark, sf):
     return structure.structural_pairs(materialise(A.landmarks(spark, sf), "marks"))[1].select("ga", "gb", "pos")
 
 
+@query(f"{_structure(A.SYMMETRIC, A.BUILT)} SELECT ga, gb, pos FROM junctions")
+def junctions_built(spark, sf):
+    """Junctions between series of which one is the other with known stretches turned round."""
+    return structure.structural_pairs(materialise(A.landmarks(spark, sf, A.SYMMETRIC, A.BUILT), "marks"))[1].select("ga", "gb", "pos")
+
+
 @query(f"""WITH {marks()}, {PAIRS}, kinds AS (SELECT DISTINCT genome, seq FROM marks), common AS (SELECT a.genome AS ga, b.genome AS gb, seq FROM kinds a JOIN kinds b USING (seq) WHERE a.genome < b.genome),
 sides AS (SELECT DISTINCT c.ga, c.gb, p.genome, k1, k2 FROM pairs p JOIN common c ON c.seq = k1 AND p.genome IN (c.ga, c.gb) JOIN common d ON d.seq = k2 AND d.ga = c.ga AND d.gb = c.gb),
 odd AS (SELECT ga, gb, count(*) AS odd FROM (SELECT ga, gb FROM sides GROUP BY ga, gb, k1, k2 HAVING count(*) = 1) GROUP BY 1, 2), n AS (SELECT ga, gb, count(*) AS common FROM common GROUP BY 1, 2)
@@ -258,7 +275,15 @@ def splitmix_hash_whole(spark, sf):
     return splitmix64_native(k, "x", "z").select("x", F.hex("z").alias("h"))
 
 
-@query()
+_CODE = " + ".join(f"((instr('ACGT', substr(c, {n + 1}, 1)) - 1)::BIGINT << {2 * (20 - n)})" for n in range(21))
+
+
+@query(f"""WITH {_contigs()}, w AS (SELECT genome, contig_id, p AS pos, substr(seq, p + 1, 21) AS s FROM contigs, unnest(range(0, greatest(length(seq) - 20, 0))) t(p)),
+b AS (SELECT *, least(s, reverse(translate(s, 'ACGT', 'TGCA'))) AS c FROM w), k AS (SELECT *, ({_CODE}) AS x FROM b),
+h1 AS (SELECT *, ((x::UHUGEINT + 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM k),
+h2 AS (SELECT * REPLACE (((xor(z, z >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z) FROM h1),
+h3 AS (SELECT * REPLACE (((xor(z, z >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z) FROM h2)
+SELECT genome, contig_id, pos::BIGINT AS pos, s AS seq, CASE WHEN s = c THEN '+' ELSE '-' END AS strand FROM h3 WHERE xor(z, z >> 31) < 18446744073709551615::UBIGINT // 50""")
 def fmh_landmarks(spark, sf):
     return sketch(A.contigs(spark, sf), 21, 50).select("genome", "contig_id", "pos", "seq", "strand")
 
@@ -278,11 +303,29 @@ def common_tags_all(spark, sf):
     return graph.common_tags(A.landmarks(spark, sf, genome="lang"))
 
 
-@query()
+@query(f"WITH {marks(genome=A.BUILT)} SELECT seq FROM marks GROUP BY 1 HAVING count(DISTINCT genome) = (SELECT count(DISTINCT genome) FROM marks)")
+def common_tags_built(spark, sf):
+    return graph.common_tags(A.landmarks(spark, sf, genome=A.BUILT))
+
+
+def _tolerance(genome: str) -> str:
+    """Tags that differ at one place are equal but for that letter; a tag reaches all of its cluster."""
+    return f"""WITH RECURSIVE {marks(genome=genome)}, kinds AS MATERIALIZED (SELECT DISTINCT genome, seq FROM marks), k AS MATERIALIZED (SELECT DISTINCT seq FROM kinds),
+mask AS (SELECT seq, left(seq, n - 1) || '*' || substr(seq, n + 1) AS m FROM k, unnest(range(1, length(seq) + 1)) t(n)), near AS MATERIALIZED (SELECT DISTINCT x.seq AS a, y.seq AS b FROM mask x JOIN mask y USING (m) WHERE x.seq <> y.seq),
+reach AS (SELECT seq, seq AS other FROM k UNION SELECT r.seq, n.b FROM reach r JOIN near n ON n.a = r.other), named AS (SELECT seq, min(other) AS cluster FROM reach GROUP BY 1)
+SELECT cluster, count(DISTINCT seq) AS members FROM kinds JOIN named USING (seq) GROUP BY 1 HAVING count(DISTINCT genome) = (SELECT count(DISTINCT genome) FROM kinds)"""
+
+
+@query(_tolerance("lang"))
 def tolerance_clusters(spark, sf):
     return graph.tolerant_tags(A.landmarks(spark, sf, genome="lang"), 1)
 
 
+@query(_tolerance(A.BUILT))
+def tolerance_clusters_built(spark, sf):
+    return graph.tolerant_tags(A.landmarks(spark, sf, genome=A.BUILT), 1)
+
+
 def _graph(spark, sf):
     m = materialise(A.landmarks(spark, sf), "marks")
     e, n = graph.simplify(graph.edges(m), graph.nodes(m), 2)
@@ -290,24 +333,39 @@ def _graph(spark, sf):
     return e, n, materialise(graph.linear_paths(e), "paths")
 
 
-@query()
+#: Unbranched paths by walking from every end, and round every ring, in both directions.
+GRAPH = f"""WITH RECURSIVE {marks()}, {EDGES}, ew AS MATERIALIZED (SELECT src, tgt, count(*) AS weight FROM st GROUP BY 1, 2 HAVING count(*) >= 2), nodes AS MATERIALIZED (SELECT l.* FROM lastp l WHERE seq IN (SELECT src FROM ew UNION SELECT tgt FROM ew)),
+und AS MATERIALIZED (SELECT DISTINCT least(src, tgt) AS x, greatest(src, tgt) AS y FROM ew WHERE src <> tgt), nb AS MATERIALIZED (SELECT x AS n, y AS m FROM und UNION ALL SELECT y, x FROM und), dg AS MATERIALIZED (SELECT n, count(*) AS d FROM nb GROUP BY 1),
+walk AS (SELECT nb.n AS s, nb.n AS prev, m AS here, [nb.n, m] AS path FROM nb JOIN dg USING (n) WHERE d <> 2
+UNION ALL SELECT w.s, w.here, nb.m, list_append(w.path, nb.m) FROM walk w JOIN dg ON dg.n = w.here AND dg.d = 2 JOIN nb ON nb.n = w.here AND nb.m <> w.prev),
+done AS (SELECT w.* FROM walk w JOIN dg ON dg.n = w.here WHERE d <> 2), covered AS (SELECT DISTINCT unnest(path) AS n FROM done), lone AS (SELECT n FROM dg WHERE d = 2 AND n NOT IN (SELECT n FROM covered)),
+spin AS (SELECT nb.n AS s, nb.n AS prev, m AS here, [nb.n, m] AS path FROM nb JOIN lone USING (n) WHERE m > nb.n UNION ALL SELECT w.s, w.here, nb.m, list_append(w.path, nb.m) FROM spin w JOIN nb ON nb.n = w.here AND nb.m <> w.prev WHERE w.here > w.s AND nb.m >= w.s),
+closed AS (SELECT path[1:len(path) - 1] AS ring FROM done WHERE s = here UNION ALL SELECT path[1:len(path) - 1] FROM spin WHERE here = s), turned AS (SELECT ring[list_position(ring, list_min(ring)):] || ring[1:list_position(ring, list_min(ring)) - 1] AS ring FROM closed),
+paths AS (SELECT path[1] || '>' || path[2] AS path_id, path FROM (SELECT path FROM done WHERE s < here UNION SELECT ring FROM turned WHERE ring[2] < ring[len(ring)])),
+steps AS (SELECT path_id, len(path) AS tags, unnest(range(len(path))) AS k, unnest(path) AS seq FROM paths), on_ AS (SELECT path_id, genome, tags, min(gpos) AS "begin", max(gpos) AS "end", min_by(strand, k) AS strand FROM steps JOIN nodes USING (seq) WHERE tags >= 2 GROUP BY 1, 2, 3 HAVING count(*) = tags),
+blocks AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY path_id) AS g, min("end" - "begin") OVER (PARTITION BY path_id) AS short FROM on_) WHERE g >= 2)"""
+
+
+@query(f"{GRAPH} SELECT path_id, array_to_string(path, ',') AS path FROM paths")
 def linear_paths(spark, sf):
-    return _graph(spark, sf)[2]
+    return _graph(spark, sf)[2].withColumn("path", F.array_join("path", ","))
 
 
-@query()
+@query(f"""{GRAPH}, s AS (SELECT path_id, tags, seq AS x, lead(seq) OVER (PARTITION BY path_id ORDER BY k) AS y FROM steps)
+SELECT path_id, round(avg(coalesce(a.weight, b.weight, 0)) / 20 * least(1, sqrt(max(tags) / 10)), 6) AS score FROM s LEFT JOIN ew a ON (a.src, a.tgt) = (x, y) LEFT JOIN ew b ON (b.src, b.tgt) = (y, x) WHERE y IS NOT NULL GROUP BY 1""")
 def path_scores(spark, sf):
     e, n, p = _graph(spark, sf)
     return graph.path_scores(p, e, 20).withColumn("score", R("score"))
 
 
-@query()
+@query(f"""{GRAPH} SELECT path_id, genome, "begin", "end", strand, tags FROM blocks WHERE short >= 1""")
 def synteny_blocks(spark, sf):
     _, n, p = _graph(spark, sf)
     return graph.blocks_of_size(graph.blocks(p, n), 1)
 
 
-@query()
+@query(f"""{GRAPH}, g AS (SELECT path_id, k, genome, abs(lead(n.gpos) OVER (PARTITION BY path_id, genome ORDER BY k) - n.gpos) AS d FROM steps JOIN nodes n USING (seq) JOIN (SELECT path_id, genome FROM blocks) USING (path_id, genome))
+SELECT path_id, a.genome AS ga, b.genome AS gb, sum(b.d - a.d)::BIGINT AS indel, count(*) AS places FROM g a JOIN g b USING (path_id, k) WHERE a.genome < b.genome AND a.d > 0 AND b.d > 0 AND abs(b.d - a.d) >= greatest(100, (a.d + b.d) / 2 * 0.1) GROUP BY 1, 2, 3""")
 def block_indels(spark, sf):
     _, n, p = _graph(spark, sf)
     b = materialise(graph.blocks(p, n), "blocks")
@@ -352,7 +410,44 @@ def placement_anchors(spark, sf):
     return placement.anchors(queries, chosen, tags).select("q", "genome", "contig_id", "canon", "qpos", "rpos")
 
 
-@query()
+def _ranked(windows: str, own: str, pairs: int) -> str:
+    """SQL of a whole search: ``windows`` gives ``qm`` (q, own, canon, gpos, seq: landmarks of the queries)
+    and ``ql`` (q, length); candidates of rank up to 5 are in ``ranked``.
+
+    Chains are a dynamic program over lists: ``sc`` and ``pr`` hold the scores and predecessors so far;
+    the largest score * 10^6 - place is the earliest of the best predecessors."""
+    unit = lambda c: f"least(greatest({c}, 0), 1)"
+    score = lambda near: unit(f"shared_fraction * 0.15 + pair_fraction * 0.30 + coverage * 0.30 + consistency * 0.10 + interior * 0.10 + {near} * 0.05")
+    best = 'PARTITION BY q ORDER BY round(score, 9) DESC, n_pairs DESC, n_tags DESC, genome, contig_id'
+    return f"""WITH RECURSIVE {marks()}, {POST}, {windows}, qk AS (SELECT DISTINCT q, own, canon FROM qm), tk AS (SELECT DISTINCT genome, canon FROM marks), bt AS (SELECT q, t.genome, count(*) AS n FROM qk JOIN tk t USING (canon) WHERE {own} GROUP BY 1, 2 HAVING count(*) >= 3),
+qp AS (SELECT DISTINCT q, x, y, least(x, y) AS a, greatest(x, y) AS b FROM (SELECT q, lag(canon) OVER w AS x, canon AS y, gpos - lag(gpos) OVER w AS gap, length(seq) AS n FROM qm WINDOW w AS (PARTITION BY q ORDER BY gpos)) WHERE gap > n),
+bp AS (SELECT q, t.genome, count(*) AS n FROM (SELECT DISTINCT q, a, b FROM qp) JOIN (SELECT DISTINCT genome, a, b FROM post) t USING (a, b) GROUP BY 1, 2), chosen AS (SELECT q, bt.genome FROM bt LEFT JOIN bp USING (q, genome) WHERE coalesce(bp.n, 0) >= {pairs}),
+once AS (SELECT q, canon, max(gpos) AS qpos FROM qm GROUP BY 1, 2 HAVING count(*) = 1), m AS (SELECT c.q, c.genome, t.contig_id, t.canon, qpos, t.gpos AS rpos FROM chosen c JOIN once USING (q) JOIN marks t ON t.genome = c.genome AND t.canon = once.canon),
+ar AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY q, genome ORDER BY qpos, rpos, canon) AS k FROM (SELECT *, count(*) OVER (PARTITION BY q, genome, contig_id, canon) AS n FROM m) WHERE n = 1),
+seqs AS MATERIALIZED (SELECT q, genome, ahead, list(CASE WHEN ahead THEN rpos ELSE -rpos END ORDER BY k) AS r FROM ar, (VALUES (true), (false)) o(ahead) GROUP BY 1, 2, 3),
+dp AS (SELECT q, genome, ahead, r, 1 AS k, [1::BIGINT] AS sc, [0::BIGINT] AS pr FROM seqs UNION ALL SELECT q, genome, ahead, r, k + 1, list_append(sc, CASE WHEN v < 0 THEN 1 ELSE v // 1000000 + 2 END), list_append(pr, CASE WHEN v < 0 THEN 0 ELSE (v // 1000000 + 1) * 1000000 - v END)
+FROM (SELECT *, list_max(list_transform(range(1, k + 1), lambda j: CASE WHEN r[j] < r[k + 1] THEN sc[j] * 1000000 - j ELSE -1 END)) AS v FROM dp WHERE k < len(r))),
+bk AS (SELECT q, genome, ahead, pr, list_position(sc, list_max(sc))::BIGINT AS spot FROM dp WHERE k = len(r) UNION ALL SELECT q, genome, ahead, pr, pr[spot] FROM bk WHERE pr[spot] > 0),
+pk AS (SELECT b.ahead, ar.* FROM bk b JOIN ar ON (ar.q, ar.genome, ar.k) = (b.q, b.genome, b.spot)), ch AS (SELECT q, genome, ahead, count(*) AS n_tags, min(qpos) AS qs, max(qpos) AS qe FROM pk GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+cc AS (SELECT q, genome, ahead, min_by(contig_id, (-n, contig_id)) AS contig_id FROM (SELECT q, genome, ahead, contig_id, count(*) AS n FROM pk GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3), pc AS (SELECT DISTINCT q, genome, ahead, canon FROM pk),
+sp AS (SELECT k.q, p.genome, p.a, p.b, p.x, p.y, p.x = k.x AND p.y = k.y AS same FROM qp k JOIN post p USING (a, b) JOIN chosen c ON c.q = k.q AND c.genome = p.genome),
+su AS (SELECT u.q, u.genome, u.ahead, count(*) AS n, count(DISTINCT a || b) AS n_pairs, count(*) FILTER (same = u.ahead) AS good FROM sp JOIN pc u ON (u.q, u.genome, u.canon) = (sp.q, sp.genome, sp.x) JOIN pc v ON (v.q, v.genome, v.canon, v.ahead) = (sp.q, sp.genome, sp.y, u.ahead) GROUP BY 1, 2, 3),
+both_ AS (SELECT ch.*, contig_id, coalesce(n_pairs, 0) AS n_pairs, coalesce(good / n, 0) AS consistency FROM ch JOIN cc USING (q, genome, ahead) LEFT JOIN su USING (q, genome, ahead)),
+sided AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q, genome ORDER BY n_tags DESC, n_pairs DESC, round(consistency * 1000000) DESC, contig_id DESC, ahead DESC) AS o FROM both_) WHERE o = 1),
+parts AS (SELECT s.*, l.length, n_tags / nt AS shared_fraction, CASE WHEN coalesce(np, 0) > 0 THEN n_pairs / np ELSE 0 END AS pair_fraction, CASE WHEN l.length > 0 THEN {unit('(qe - qs + 1) / l.length')} ELSE 1 END AS coverage, CASE WHEN nt <= 2 THEN 0 ELSE {unit('(n_tags - 2) / (nt - 2)')} END AS interior
+FROM sided s JOIN (SELECT q, count(*) AS nt FROM qm GROUP BY 1) USING (q) LEFT JOIN (SELECT q, count(*) AS np FROM qp GROUP BY 1) USING (q) LEFT JOIN ql l USING (q)),
+r1 AS (SELECT *, row_number() OVER w AS o1, lead(score) OVER w AS nxt FROM (SELECT *, {score('0')} AS score FROM parts) WINDOW w AS ({best})),
+r2 AS (SELECT * REPLACE ({score('near')} AS score) FROM (SELECT *, CASE WHEN o1 > 1 THEN 0 WHEN nxt IS NULL OR score <= 0 THEN 1 ELSE {unit('1 - (score - nxt) / score')} END AS near FROM r1)),
+ranked AS (SELECT * FROM (SELECT *, row_number() OVER ({best}) AS "rank" FROM r2) WHERE "rank" <= 5)"""
+
+
+_ENOUGH = "CASE WHEN length >= 500000 THEN n_tags >= 25 AND n_pairs >= 15 WHEN length >= 100000 THEN n_tags >= 15 AND n_pairs >= 8 WHEN length >= 50000 THEN n_tags >= 10 AND n_pairs >= 5 WHEN length >= 10000 THEN n_tags >= 5 AND n_pairs >= 2 ELSE true END"
+_WHOLE = "qm AS (SELECT concat_ws(':', genome, contig_id) AS q, genome AS own, canon, gpos, seq FROM marks), ql AS (SELECT concat_ws(':', genome, contig_id) AS q, length FROM placed)"
+
+
+@query(f"""{_ranked(_WHOLE, "own <> t.genome", 2)} SELECT t.q, tags, coalesce(a.genome, '*') AS best_genome, coalesce('s' || substr(a.genome, 4, 1), '*') AS best_species, CASE WHEN coalesce(a.ahead, true) THEN '+' ELSE '-' END AS orientation, coalesce(a.n_tags, 0) AS shared_tags, coalesce(a.n_pairs, 0) AS shared_pairs,
+round(coalesce(a.coverage, 0), 6) AS coverage, round(coalesce(a.score, 0), 6) AS score, CASE WHEN a.q IS NULL THEN 'exploratory' WHEN a.score >= 0.80 AND a.sure THEN 'high' WHEN a.score >= 0.65 THEN 'medium' WHEN a.score >= 0.50 AND a.length >= 10000 THEN 'low' ELSE 'exploratory' END AS confidence,
+coalesce(b.genome, '*') AS second_genome, round(coalesce(b.score, 0), 6) AS second_score FROM (SELECT q, count(*) AS tags FROM qm GROUP BY 1) t LEFT JOIN (SELECT *, {_ENOUGH} AS sure FROM ranked WHERE "rank" = 1) a ON a.q = t.q LEFT JOIN (SELECT * FROM ranked WHERE "rank" = 2) b ON b.q = t.q""")
 def placement_full(spark, sf):
     m, queries, index, size = _placement(spark, sf)
     ranked = materialise(placement.search(queries, index, size, 3, 2, 5, True), "ranked")
@@ -368,7 +463,14 @@ def chimera_windows(spark, sf):
     return grid.join(n, "q", "left").select("contig_q", "segment", "begin", "end", F.coalesce("n", F.lit(0)).alias("tags"))
 
 
-@query()
+_WINDOWS = """lo AS (SELECT genome, contig_id, min(gpos) AS low, max(gpos) AS high FROM marks GROUP BY 1, 2), grid AS (SELECT concat_ws(':', genome, contig_id) AS contig_q, unnest(range(0, (high - low) // 2000 + 1)) AS segment, low FROM lo),
+qm AS (SELECT concat_ws(':', genome, contig_id) || '#' || ((gpos - low) // 2000) AS q, genome AS own, canon, gpos, seq FROM marks JOIN lo USING (genome, contig_id)), ql AS (SELECT contig_q || '#' || segment AS q, 2000 AS length FROM grid)"""
+
+
+@query(f"""{_ranked(_WINDOWS, "true", 0)}, rw AS (SELECT contig_q, segment, low + segment * 2000 AS "begin", low + (segment + 1) * 2000 - 1 AS "end", coalesce(a.genome, '*') AS best_genome, coalesce('s' || substr(a.genome, 4, 1), '*') AS best_species, coalesce(a.score, 0) AS score,
+coalesce('s' || substr(b.genome, 4, 1), '*') AS second_species, coalesce(b.score, 0) AS second_score FROM grid LEFT JOIN (SELECT * FROM ranked WHERE "rank" = 1) a ON a.q = contig_q || '#' || segment LEFT JOIN (SELECT * FROM ranked WHERE "rank" = 2) b ON b.q = contig_q || '#' || segment),
+mv AS (SELECT *, coalesce(lag(best_species) OVER (PARTITION BY contig_q ORDER BY segment) <> best_species, false) AS moved FROM rw)
+SELECT contig_q, segment::INTEGER AS segment, "begin", "end", best_genome, best_species, round(score, 6) AS score, second_species, round(second_score, 6) AS second_score, CASE WHEN moved THEN round(least(score, second_score), 6) ELSE 0 END AS chimera_confidence, moved AS transition FROM mv""")
 def chimera_scan(spark, sf):
     m, _, index, _ = _placement(spark, sf)
     species = m.select("genome").distinct().withColumn("species_cluster", F.concat(F.lit("s"), F.substring("genome", 4, 1)))

@@ -74,6 +74,21 @@ PAIRADJ = """na AS (SELECT cluster, count(*) AS n FROM ad GROUP BY 1), ab AS (SE
 aj AS (SELECT q, t, CASE WHEN coalesce(u.n, 0) + coalesce(v.n, 0) - coalesce(m, 0) = 0 THEN 1.0 ELSE coalesce(m, 0) / (coalesce(u.n, 0) + coalesce(v.n, 0) - coalesce(m, 0)) END AS adjacency FROM cand LEFT JOIN ab USING (q, t) LEFT JOIN na u ON u.cluster = q LEFT JOIN na v ON v.cluster = t)"""
 
 
+def _lcs(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two lists of under 60 elements, a row of its table as bits."""
+    full = f"((1::BIGINT << len({a})) - 1)"
+    hits = f"list_transform({b}, lambda y: coalesce(list_sum(list_transform(range(len({a})), lambda i: CASE WHEN {a}[i + 1] = y THEN 1::BIGINT << i ELSE 0 END)), 0)::BIGINT)"
+    return f"(len({a}) - bit_count(list_reduce(list_prepend({full}, {hits}), lambda r, m: ((r + (r & m)) | (r - (r & m))) & {full})))"
+
+
+#: First tokens in order, of those the other cluster has, for the pairs of ``cand``; then all scores.
+ORDER = f"""rp AS (SELECT cluster, rn, tokens[1] AS rep FROM tok WHERE tokens[1] IS NOT NULL),
+qr AS (SELECT q, t, list(rep ORDER BY rn) AS a FROM cand JOIN rp ON rp.cluster = q JOIN tc ON tc.cluster = t AND token = rep GROUP BY 1, 2), tr AS (SELECT q, t, list(rep ORDER BY rn) AS b FROM cand JOIN rp ON rp.cluster = t JOIN tc ON tc.cluster = q AND token = rep GROUP BY 1, 2),
+od AS (SELECT q, t, coalesce(a, []) AS a, coalesce(b, []) AS b FROM cand LEFT JOIN qr USING (q, t) LEFT JOIN tr USING (q, t)), lc AS (SELECT q, t, a, b, {_lcs('a', 'b')} AS ahead, {_lcs('list_reverse(a)', 'b')} AS back FROM od),
+ord AS (SELECT q, t, least(1.0::DOUBLE, greatest(ahead, back) / greatest(1, len(a) - 1, len(b) - 1)) AS order_score, back > ahead AND back >= 2 AS inverted FROM lc)"""
+SCORE = "least(greatest(weighted * 0.45::DOUBLE + adjacency * 0.30::DOUBLE + order_score * 0.15::DOUBLE + copies * 0.10::DOUBLE, 0), 1)"
+
+
 @query(f"""WITH {ITEMS}, {COUNTS}, {ADJ}, {CAND}, {OVERLAP}, {PAIRADJ} SELECT q, t, round(shared / (qk + tk - shared), 6) AS functional, round(low / (high + qw + tw - low - high), 6) AS weighted,
 round(1 - (apart + qn - sx + tn - sy) / (2 * greatest(qn + tn, 1)), 6) AS copies, round(adjacency, 6) AS adjacency FROM al JOIN aj USING (q, t)""")
 def cluster_pair_jaccard(spark, sf):
@@ -93,11 +108,11 @@ def cluster_pair_dice(spark, sf):
 
 
 def _split(items):
-    mine = F.pmod(F.regexp_extract("cluster", r"o(\d+)$", 1).cast("long"), F.lit(50)) == 7
+    mine = F.pmod(F.regexp_extract("cluster", r"o(\d+)$", 1).cast("long"), F.lit(50)) == 0
     return items.filter(mine), items
 
 
-@query(f"""WITH {ITEMS}, {COUNTS}, {ADJ}, qs AS (SELECT DISTINCT cluster FROM it WHERE ok % 50 = 7), s AS (SELECT x.cluster AS q, y.cluster AS t FROM tc x JOIN tc y USING (token) WHERE x.cluster IN (FROM qs) AND {XWEIGHT} >= 3
+@query(f"""WITH {ITEMS}, {COUNTS}, {ADJ}, qs AS (SELECT DISTINCT cluster FROM it WHERE ok % 50 = 0), s AS (SELECT x.cluster AS q, y.cluster AS t FROM tc x JOIN tc y USING (token) WHERE x.cluster IN (FROM qs) AND {XWEIGHT} >= 3
 UNION SELECT x.cluster, y.cluster FROM ad x JOIN ad y USING (a, b) WHERE x.cluster IN (FROM qs)) SELECT q, count(*) AS targets FROM s GROUP BY 1""")
 def cluster_seeds(spark, sf):
     mine, all_ = _split(_items(spark, sf))
@@ -105,14 +120,27 @@ def cluster_seeds(spark, sf):
     return s.groupBy("q").agg(F.count(F.lit(1)).alias("targets"))
 
 
-@query()
+#: Pairs by seeds of weight 2 or a shared adjacency; those under the functional threshold end here.
+FOUND = f"""qs AS (SELECT DISTINCT cluster FROM it WHERE ok % 50 = 0), seeded AS (SELECT x.cluster AS q, y.cluster AS t FROM tc x JOIN tc y USING (token) WHERE x.cluster IN (FROM qs) AND {XWEIGHT} >= 2
+UNION SELECT x.cluster, y.cluster FROM ad x JOIN ad y USING (a, b) WHERE x.cluster IN (FROM qs)), kinds AS (SELECT cluster, count(*) AS n FROM tc GROUP BY 1), met AS (SELECT x.cluster AS q, y.cluster AS t, count(*) AS m FROM tc x JOIN tc y USING (token) WHERE x.cluster IN (FROM qs) GROUP BY 1, 2),
+cand AS (SELECT q, t FROM seeded JOIN met USING (q, t) JOIN kinds a ON a.cluster = q JOIN kinds b ON b.cluster = t WHERE 2 * m / (a.n + b.n) >= 0.2)"""
+
+
+@query(f"""WITH {ITEMS}, {COUNTS}, {ADJ}, {FOUND}, {OVERLAP}, {PAIRADJ}, {ORDER}, span AS (SELECT cluster, max(rn) * 1000 + 900 - min(rn) * 1000 + 1 AS n FROM it GROUP BY 1),
+sc AS (SELECT q, t, 2 * shared / (qk + tk) AS functional, (2 * low / (2 * high + qw + tw - low - high))::DOUBLE AS weighted, adjacency::DOUBLE AS adjacency, order_score, greatest(1 - (2 * apart + qn - sx + tn - sy) / (2 * greatest(qn, tn, 1)), 0)::DOUBLE AS copies, qk - shared AS missing, tk - shared AS extra, inverted FROM al JOIN aj USING (q, t) JOIN ord USING (q, t)),
+rk AS (SELECT *, {SCORE} AS score, row_number() OVER (PARTITION BY q ORDER BY round({SCORE}, 9) DESC, t) AS "rank" FROM sc)
+SELECT q, t, "rank", round(functional, 6) AS functional, round(weighted, 6) AS weighted, round(adjacency, 6) AS adjacency, round(order_score, 6) AS order_score, round(copies, 6) AS copies, round(round(score, 9), 6) AS score, missing, extra, inverted, v.n * 2 < u.n AS split
+FROM rk JOIN span u ON u.cluster = q JOIN span v ON v.cluster = t WHERE "rank" <= 5""")
 def cluster_search(spark, sf):
     mine, all_ = _split(_items(spark, sf))
     out = C.search(mine, all_, 0.2, 0.0, 5)
+    out = out.withColumn("score", F.round("score", 9))
     return out.select("q", "t", "rank", *(R(c).alias(c) for c in ("functional", "weighted", "adjacency", "order_score", "copies", "score")), "missing", "extra", "inverted", "split")
 
 
-@query()
+@query(f"""WITH {ITEMS}, {COUNTS}, {ADJ}, {CAND}, {OVERLAP}, {PAIRADJ}, {ORDER},
+sc AS (SELECT q, t, shared / (qk + tk - shared) AS functional, (low / (qw + tw - low))::DOUBLE AS weighted, adjacency::DOUBLE AS adjacency, order_score, greatest(1 - (apart + qn - sx + tn - sy) / (2 * greatest(qn + tn, 1)), 0)::DOUBLE AS copies, inverted FROM al JOIN aj USING (q, t) JOIN ord USING (q, t))
+SELECT q, t, round(functional, 6) AS functional, round(weighted, 6) AS weighted, round(adjacency, 6) AS adjacency, round(order_score, 6) AS order_score, round(copies, 6) AS copies, round({SCORE}, 6) AS score, inverted FROM sc""")
 def cluster_score_pair(spark, sf):
     i = _items(spark, sf)
     out = C.score_pairs(_candidates(i), i, i)
@@ -330,7 +358,7 @@ def placement_scores(spark, sf):
     s = placement_score(f(0.5), f(0.25), F.col("c_custkey") % 10 / 10.0, f(1), f(0.5), f(1))
     length = F.lit(parse_size("50kb"))
     return A.table(spark, sf, "customer").select("c_custkey", strand(F.col("c_mktsegment")).alias("strand"), clean_field(F.concat("c_name", F.lit(", ,,"))).alias("name0"), "c_name", s.alias("s")).select(
-        "c_custkey", "strand", F.col("c_name").alias("name"), R("s").alias("score"), confidence(F.col("s"), F.lit(3), F.lit(1), length).alias("confidence")
+        "c_custkey", "strand", F.col("name0").alias("name"), R("s").alias("score"), confidence(F.col("s"), F.lit(3), F.lit(1), length).alias("confidence")
     )
 
 
@@ -341,11 +369,10 @@ def greedy_matches(spark, sf):
     return V.greedy_matches(a.select("user_id", F.col("s").alias("pos")), b.select("user_id", F.col("s").alias("pos")), "user_id", 3600)
 
 
-@query()
+@query(f"""WITH {ITEMS}, {CAND}, rp AS (SELECT cluster, list(tokens[1] ORDER BY rn) AS reps FROM tok WHERE tokens[1] IS NOT NULL GROUP BY 1), p AS (SELECT q, t, x.reps AS a, y.reps AS b FROM cand JOIN rp x ON x.cluster = q JOIN rp y ON y.cluster = t)
+SELECT q, t, {_lcs('a', 'b')} AS lcs FROM p""")
 def lcs_lengths(spark, sf):
-    from pyspark.sql import Window
-
-    t = C.cluster_table(_items(spark, sf)).select("cluster", "reps")
-    nxt = F.lead("reps").over(Window.partitionBy(F.xxhash64("cluster") % 64).orderBy("cluster"))
-    pairs = t.withColumn("other", nxt).filter("other is not null")
-    return V.lcs_lengths(pairs, "reps", "other").select("cluster", "lcs")
+    i = _items(spark, sf)
+    reps = materialise(C.cluster_table(i).select("cluster", "reps"), "reps")
+    side = lambda c: reps.select(F.col("cluster").alias(c), F.col("reps").alias(f"{c}_reps"))
+    return V.lcs_lengths(_candidates(i).join(side("q"), "q").join(side("t"), "t"), "q_reps", "t_reps").select("q", "t", "lcs")
