@@ -145,10 +145,13 @@ def containment_first(inner: DataFrame, outer: DataFrame, key: str, width: int =
     return hit.groupBy(key, "id").agg(F.min_by("region", F.struct("rs", "region")).alias("region"))
 
 
-def overlap_best(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+def overlap_best(left: DataFrame, right: DataFrame, key: list[str], width: int = 10_000) -> DataFrame:
     """For each left interval (id, s1, e1) the right one (gene_id, s2, e2) of its key that overlaps most;
-    the larger id wins ties."""
-    both = left.join(right, key).filter((F.col("s1") <= F.col("e2")) & (F.col("s2") <= F.col("e1")))
+    the larger id wins ties. Joined on the bins both touch; a pair counts in the bin where the later of
+    the two begins."""
+    binned = lambda t, s, e: t.withColumn("_b", F.explode(F.sequence(F.floor(F.col(s) / width), F.floor(F.greatest(s, e) / width))))
+    both = binned(left, "s1", "e1").join(binned(right, "s2", "e2"), [*key, "_b"]).filter((F.col("s1") <= F.col("e2")) & (F.col("s2") <= F.col("e1")))
+    both = both.filter(F.col("_b") == F.floor(F.greatest("s1", "s2") / width)).drop("_b")
     both = both.withColumn("overlap", F.least("e1", "e2") - F.greatest("s1", "s2") + 1)
     return both.groupBy(*key, "id").agg(F.max_by("gene_id", F.struct("overlap", "gene_id")).alias("gene_id"), F.max("overlap").alias("overlap"))
 

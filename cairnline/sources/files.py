@@ -91,7 +91,7 @@ def tgt_text(landmarks: DataFrame, series: DataFrame) -> DataFrame:
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Series metadata: five positional columns, an optional header; a repeated id is an error."""
-    raw = spark.read.csv(path, sep="\t", schema="genome string, species_cluster string, taxonomy string, fasta_path string, rep string")
+    raw = spark.read.csv(path, sep="\t", quote="", schema="genome string, species_cluster string, taxonomy string, fasta_path string, rep string")
     rows = raw.filter((F.lower("genome") != "genome_id") & (F.length(F.trim("genome")) > 0))
     _fail(rows.groupBy("genome").count().filter("count > 1"), "repeated series id")
     return rows.select("genome", *(F.nullif(F.trim(c), F.lit("")).alias(c) for c in ("species_cluster", "taxonomy", "fasta_path")), F.lower(F.trim(F.coalesce("rep", F.lit("")))).isin("1", "true", "yes").alias("is_representative"))
@@ -120,11 +120,11 @@ def normalise_features(rows: DataFrame, genome: str | None = None) -> DataFrame:
 
 def read_gff(spark: SparkSession, path: str, genome: str) -> DataFrame:
     """Genes and coding sequences of a GFF3 file as features; items are named by ``gene_id``, ``ID``,
-    ``Name`` or their line."""
-    raw = spark.read.csv(path, sep="\t", comment="#", schema="seqid string, source string, type string, start long, end long, score string, strand string, phase string, attributes string")
-    attr = F.str_to_map(F.coalesce("attributes", F.lit("")), F.lit(";"), F.lit("="))
+    ``Name`` or their line. Of a repeated attribute the first counts; quotes are letters."""
+    raw = spark.read.csv(path, sep="\t", quote="", comment="#", schema="seqid string, source string, type string, start long, end long, score string, strand string, phase string, attributes string")
+    attr = F.transform(F.split(F.coalesce("attributes", F.lit("")), ";"), lambda a: F.struct(F.trim(F.substring_index(a, "=", 1)).alias("k"), F.regexp_extract(a, "=(.*)$", 1).alias("v")))
     rows = raw.filter(F.col("type").isin("gene", "CDS")).withColumn("m", attr)
-    get = lambda *keys: F.coalesce(*(F.nullif(F.trim(F.try_element_at("m", F.lit(k))), F.lit("")) for k in keys))
+    get = lambda *keys: F.coalesce(*(F.nullif(F.trim(F.try_element_at(F.filter("m", lambda a: a["k"] == k), F.lit(1))["v"]), F.lit("")) for k in keys))
     fallback = F.concat(F.lit(genome + "_"), F.xxhash64("seqid", "start", "end", "type").cast("string"))
     rows = rows.select(
         F.coalesce(get("gene_id", "ID", "Name"), fallback).alias("gene_id"), F.lit(genome).alias("genome_id"), F.col("seqid").alias("contig_id"), "start", "end", "strand",

@@ -92,3 +92,11 @@ def test_registry():
 
     q, o = entry.queries(), entry.oracle_sql()
     assert len(q) > 60 and set(o) <= set(q)
+
+
+def test_gff_repeats_and_quotes(spark, tmp_path):
+    (tmp_path / "q.gff").write_text('c1\tp\tCDS\t1\t90\t.\t-\t0\tID=x1;product="abc;ID=x9;Name=a=b\nc1\tp\tgene\t1\t9\t.\t+\t0\tName=n2\n')
+    got = {r["gene_id"]: r["product"] for r in files.read_gff(spark, str(tmp_path / "q.gff"), "s").collect()}
+    assert got == {"x1": '"abc', "n2": "n2"}
+    (tmp_path / "m.tsv").write_text('g1\tsp1\t"open\tp1\t1\ng2\tsp2\tx"\tp2\t0\n')
+    assert {r["genome"]: r["taxonomy"] for r in files.read_metadata(spark, str(tmp_path / "m.tsv")).collect()} == {"g1": '"open', "g2": 'x"'}
