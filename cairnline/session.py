@@ -37,9 +37,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder driver and executors share; one of our own only where none is configured."""
+    """The folder driver and executors share; one of our own only in local mode, where none is configured."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         place = "file://" + tempfile.mkdtemp(prefix="cairnline-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place
