@@ -135,3 +135,10 @@ both_parts AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coales
 UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q),
 r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM both_parts)
 SELECT * FROM r WHERE part = 'pair' OR rank <= 10""")
+
+
+@query
+def op12_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation import damage, report
+
+    return report(damage(read(spark, sf_dir, "conversations")))
