@@ -142,3 +142,10 @@ def op12_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .conversation import damage, report
 
     return report(damage(read(spark, sf_dir, "conversations")))
+
+
+@query
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digests
+
+    return digests(read(spark, sf_dir, "documents"))
