@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,55 +152,175 @@ def cluster_score(weighted: Column, adjacency: Column, order: Column, copies: Co
     return F.least(F.greatest(weighted * 0.45 + adjacency * 0.30 + order * 0.15 + copies * 0.10, F.lit(0.0)), F.lit(1.0))
 
 
-def shared_order(pairs: DataFrame, query_items: DataFrame, target_items: DataFrame) -> DataFrame:
+def shared_order(pairs: DataFrame, query_items: DataFrame, target_items: DataFrame, query_tokens: DataFrame | None = None, target_tokens: DataFrame | None = None) -> DataFrame:
     """First tokens in order, restricted to those the other cluster also has somewhere."""
-    def side(items: DataFrame, other: DataFrame, me: str, you: str) -> DataFrame:
+    def side(items: DataFrame, tokens: DataFrame, me: str, you: str) -> DataFrame:
         reps = items.filter(F.col("rep").isNotNull()).select(F.col("cluster").alias(me), F.col("rep").alias("token"), *GENE_ORDER)
-        has = token_counts(other).select(F.col("cluster").alias(you), "token")
-        kept = pairs.select("q", "t").join(reps, me).join(has, [you, "token"], "left_semi")
+        kept = pairs.select("q", "t").join(reps, me).join(tokens.select(F.col("cluster").alias(you), "token"), [you, "token"], "left_semi")
         return kept.groupBy("q", "t").agg(F.transform(F.array_sort(F.collect_list(F.struct(*GENE_ORDER, "token"))), lambda s: s["token"]).alias(f"{me}_reps"))
 
     none = F.array().cast("array<string>")
-    out = pairs.select("q", "t").join(side(query_items, target_items, "q", "t"), ["q", "t"], "left").join(side(target_items, query_items, "t", "q"), ["q", "t"], "left")
+    q = side(query_items, token_counts(target_items) if target_tokens is None else target_tokens, "q", "t")
+    t = side(target_items, token_counts(query_items) if query_tokens is None else query_tokens, "t", "q")
+    out = pairs.select("q", "t").join(q, ["q", "t"], "left").join(t, ["q", "t"], "left")
     return out.select("q", "t", F.coalesce("q_reps", none).alias("q_reps"), F.coalesce("t_reps", none).alias("t_reps"))
 
 
 def score_pairs(pairs: DataFrame, query_items: DataFrame, target_items: DataFrame, twice: bool = False, min_functional: float = 0.0, min_adjacency: float = 0.0) -> DataFrame:
     """All scores of pairs ``q, t``. Cheap scores are filtered before order is compared."""
     cheap = token_scores(token_overlap(pairs, token_counts(query_items), token_counts(target_items)), twice).filter(F.col("functional") >= min_functional)
-    return _ordered(cheap, query_items, target_items, adjacencies(query_items), adjacencies(target_items), min_adjacency)
+    near = pair_scores(cheap.select("q", "t"), adjacencies(query_items), adjacencies(target_items)).filter(F.col("adjacency") >= min_adjacency)
+    good = materialise(cheap.join(near, ["q", "t"]), "scored")
+    return _ordered(good, shared_order(good, query_items, target_items))
 
 
-def _ordered(cheap: DataFrame, query_items: DataFrame, target_items: DataFrame, query_pairs: DataFrame, target_pairs: DataFrame, min_adjacency: float) -> DataFrame:
-    """Pairs with cheap scores, with those of adjacency and order and the whole score."""
-    near = pair_scores(cheap.select("q", "t"), query_pairs, target_pairs).filter(F.col("adjacency") >= min_adjacency)
-    good = materialise(cheap.join(near, ["q", "t"]), "scored")
-    order = projected_order(shared_order(good, query_items, target_items))
-    out = good.join(order, ["q", "t"])
-    return out.select(
+def _ordered(good: DataFrame, order: DataFrame) -> DataFrame:
+    """Pairs with cheap scores, with that of their order and the whole score."""
+    return good.join(projected_order(order), ["q", "t"]).select(
         "q", "t", "functional", "weighted", "adjacency", "order_score", "copies",
         cluster_score(F.col("weighted"), F.col("adjacency"), F.col("order_score"), F.col("copies")).alias("score"), "inverted",
         (F.col("q_kinds") - F.col("shared")).alias("missing"), (F.col("t_kinds") - F.col("shared")).alias("extra"),
     )
 
 
+TOKEN, PAIR, REP = range(3)
+
+
+def postings(items: DataFrame) -> DataFrame:
+    """``cluster, kind, key, n, w``: tokens with their number and weight, adjacencies, and first tokens."""
+    t = token_counts(items).select("cluster", F.lit(TOKEN).alias("kind"), F.col("token").alias("key"), "n", token_weight(F.col("token")).alias("w"))
+    p = adjacencies(items).select("cluster", F.lit(PAIR), F.concat("a", F.lit("\0"), "b"), F.lit(1).cast("long"), F.lit(0.0))
+    r = items.filter(F.col("rep").isNotNull()).groupBy("cluster", "rep").agg(F.count(F.lit(1)).alias("n")).select("cluster", F.lit(REP), "rep", "n", F.lit(0.0))
+    return t.union(p).union(r)
+
+
+class _Side:
+    """The postings of one block as arrays: rows of each kind with their cluster, key, number and weight."""
+
+    def __init__(self, rows: pa.Table, keys: np.ndarray):
+        names = rows["cluster"].combine_chunks().dictionary_encode()
+        self.names, cluster = names.dictionary, names.indices.to_numpy(zero_copy_only=False)
+        kind, n, w = (rows[c].to_numpy() for c in ("kind", "n", "w"))
+        self.size = len(self.names)
+        self.of = []
+        for k in (TOKEN, PAIR, REP):
+            here = np.flatnonzero(kind == k)
+            self.of.append((cluster[here].astype(np.int64), keys[here].astype(np.int64), n[here].astype(np.int64), w[here]))
+        c, _, n, w = self.of[TOKEN]
+        self.kinds, self.n, self.weight = np.bincount(c, minlength=self.size), np.bincount(c, n, self.size), np.bincount(c, w * n, self.size)
+        self.pairs = np.bincount(self.of[PAIR][0], minlength=self.size)
+
+
+class _ByKey:
+    """Rows of one kind by key."""
+
+    def __init__(self, rows: tuple, kinds: int):
+        order = np.argsort(rows[1], kind="stable")
+        self.cluster, key, self.n, _ = (r[order] for r in rows)
+        self.begin = np.searchsorted(key, np.arange(kinds + 1))
+
+    def meet(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows with one of the keys, and the place of that key."""
+        low, size = self.begin[keys], self.begin[keys + 1] - self.begin[keys]
+        shift = np.repeat(low - np.cumsum(size) + size, size)
+        return shift + np.arange(len(shift)), np.repeat(np.arange(len(keys)), size)
+
+
+FOUND_SCHEMA = "q string, t string, shared long, q_kinds long, t_kinds long, functional double, weighted double, copies double, adjacency double, low_bound double, high_bound double"
+#: Bounds nearer than this count as equal.
+CLOSE = 1e-8
+
+
+def _meet_blocks(min_functional: float, min_adjacency: float, seed_weight: float, most: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        both = pa.chunked_array(left["key"].chunks + right["key"].chunks, pa.string()).combine_chunks().dictionary_encode()
+        keys, many = both.indices.to_numpy(zero_copy_only=False), len(both.dictionary)
+        q, t = _Side(left, keys[: len(left)]), _Side(right, keys[len(left) :])
+        tokens, pairs, reps = (_ByKey(rows, many) for rows in t.of)
+        bounds = [np.searchsorted(rows[0][o], np.arange(q.size + 1)) for rows in q.of for o in [np.argsort(rows[0], kind="stable")]]
+        sorted_ = [tuple(c[np.argsort(rows[0], kind="stable")] for c in rows) for rows in q.of]
+        found: list[tuple] = []
+        for k in range(q.size):
+            (_, tk, tn, tw), (_, pk, _, _), (_, rk, rn, _) = (tuple(c[b[k] : b[k + 1]] for c in rows) for rows, b in zip(sorted_, bounds, strict=True))
+            sum_ = lambda at, w=None: np.bincount(at, w, t.size)
+            i, key = tokens.meet(tk)
+            at, x, y, w = tokens.cluster[i], tn[key], tokens.n[i], tw[key]
+            shared = sum_(at)
+            functional = 2 * shared / (q.kinds[k] + t.kinds)
+            together = sum_(pairs.cluster[pairs.meet(pk)[0]])
+            union = q.pairs[k] + t.pairs - together
+            adjacency = np.where(union == 0, 1.0, together / np.maximum(union, 1))
+            seed = (sum_(at[w >= seed_weight]) > 0) | (together > 0)
+            good = np.flatnonzero((shared > 0) & seed & (functional >= min_functional) & (adjacency >= min_adjacency))
+            if not len(good):
+                continue
+            low, high = np.minimum(x, y), np.maximum(x, y)
+            least, greatest, apart = sum_(at, w * low)[good], sum_(at, w * high)[good], sum_(at, high - low)[good]
+            lone = q.n[k] - sum_(at, x)[good] + t.n[good] - sum_(at, y)[good]
+            bottom = greatest * 2 + (q.weight[k] + t.weight[good] - least - greatest)
+            weighted = np.where(bottom > 0, np.clip(2 * least / np.where(bottom > 0, bottom, 1), 0, 1), 0.0)
+            copies = np.clip(1 - (2 * apart + lone) / (2 * np.maximum(np.maximum(q.n[k], t.n[good]), 1)), 0, 1)
+            # the order's score lies between one match and all first tokens that both have
+            i, key = reps.meet(rk)
+            match = sum_(reps.cluster[i], np.minimum(rn[key], reps.n[i]))[good]
+            i, key = tokens.meet(rk)
+            mine = sum_(tokens.cluster[i], rn[key])[good]
+            i, key = reps.meet(tk)
+            theirs = sum_(reps.cluster[i], reps.n[i])[good]
+            size = np.maximum(np.maximum(mine, theirs) - 1, 1)
+            base = weighted * 0.45 + adjacency[good] * 0.30 + copies * 0.10
+            under, over = base + 0.15 * np.minimum(1, (match > 0) / size), base + 0.15 * np.minimum(1, match / size)
+            if len(good) > most:
+                kept = np.flatnonzero(over + CLOSE >= np.partition(under, -most)[-most])
+            else:
+                kept = np.arange(len(good))
+            g = good[kept]
+            found.append((np.full(len(g), k), g, shared[g], np.full(len(g), q.kinds[k]), t.kinds[g], functional[g], weighted[kept], copies[kept], adjacency[g], under[kept], over[kept]))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 11
+        names = [q.names.take(pa.array(columns[0], pa.int64())), t.names.take(pa.array(columns[1], pa.int64()))]
+        whole = [pa.array(c, pa.int64()) for c in columns[2:5]] + [pa.array(c, pa.float64()) for c in columns[5:]]
+        return pa.Table.from_arrays(names + whole, [c.split()[0] for c in FOUND_SCHEMA.split(", ")])
+
+    return run
+
+
+def meet(query_postings: DataFrame, target_postings: DataFrame, min_functional: float, min_adjacency: float, most: int, seed_weight: float, rows: int = 300_000) -> DataFrame:
+    """Pairs that may be among the ``most`` best targets of a query, with all scores but that of the order,
+    and bounds of the whole score.
+
+    Queries and targets are dealt into blocks of about ``rows`` postings, and every query block meets every
+    target block once, as a sparse product in numpy. A pair becomes a row only if its upper bound
+    reaches the lower bound of the query's ``most``-th best target in the block, so rows grow with
+    queries and blocks and not with the pairs that share a common token."""
+    ship(query_postings.sparkSession)
+    q_blocks, t_blocks = (max(1, -(-df.count() // rows)) for df in (query_postings, target_postings))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda n: F.pmod(F.xxhash64("cluster"), F.lit(n)).cast("int")
+    q = query_postings.select("*", deal(q_blocks).alias("qb"), every(t_blocks).alias("tb"))
+    t = target_postings.select("*", deal(t_blocks).alias("tb"), every(q_blocks).alias("qb"))
+    columns = ["cluster", "kind", "key", "n", "w", "qb", "tb"]
+    cells = q.select(columns).groupBy("qb", "tb").cogroup(t.select(columns).groupBy("qb", "tb"))
+    found = materialise(cells.applyInArrow(_meet_blocks(min_functional, min_adjacency, seed_weight, most), FOUND_SCHEMA), "met")
+    # the bound once more, over the blocks
+    best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("low_bound"))) <= most
+    least = found.select("q", "low_bound", best.alias("best")).filter("best").groupBy("q").agg(F.min("low_bound").alias("bar"), F.count(F.lit(1)).alias("some"))
+    return found.join(least, "q").filter((F.col("some") < most) | (F.col("high_bound") + CLOSE >= F.col("bar"))).drop("low_bound", "high_bound", "bar", "some")
+
+
 def search(query_items: DataFrame, target_items: DataFrame, min_functional: float = 0.0, min_adjacency: float = 0.0, most: int = 10, seed_weight: float = 2.0) -> DataFrame:
-    """Best targets of each query cluster: seeds, cheap scores, filters, order, rank.
-
-    Seeds and token scores come from one join on tokens, combined before it shuffles: a pair is a seed if
-    its heaviest shared token has the weight, or if it shares an adjacency, which is two shared tokens."""
-    qt, tt = materialise(token_counts(query_items), "tokens"), materialise(token_counts(target_items), "tokens")
-    qa, ta = materialise(adjacencies(query_items), "adjacencies"), materialise(adjacencies(target_items), "adjacencies")
-    met = materialise(token_scores(token_overlap(None, qt, tt), True).filter(F.col("functional") >= min_functional), "met")
-    by_pair = qa.withColumnRenamed("cluster", "q").join(ta.withColumnRenamed("cluster", "t"), ["a", "b"]).select("q", "t").distinct()
-    light = met.filter(F.col("heaviest") < seed_weight).join(by_pair, ["q", "t"], "left_semi").select(*met.columns)
-    cheap = materialise(met.filter(F.col("heaviest") >= seed_weight).unionByName(light), "cheap")
-    scored = _ordered(cheap, query_items, target_items, qa, ta, min_adjacency)
-    span = lambda items, p: cluster_table(items).select(F.col("cluster").alias(p), (F.col("end") - F.col("start") + 1).alias(f"{p}_span"), F.col("genome_id").alias(f"{p}_genome"), F.col("contig_id").alias(f"{p}_contig"))
-    out = scored.join(span(query_items, "q").drop("q_genome", "q_contig"), "q").join(span(target_items, "t"), "t").withColumn("split", F.col("t_span") * 2 < F.col("q_span"))
+    """Best targets of each query cluster: a seed (a shared token of the weight, or a shared adjacency), cheap
+    scores, filters, bounds, order, rank."""
+    most = max(1, most)
+    qp, tp = materialise(postings(query_items), "query-postings"), materialise(postings(target_items), "postings")
+    good = materialise(meet(qp, tp, min_functional, min_adjacency, most, seed_weight), "scored")
+    tokens = lambda p: p.filter(F.col("kind") == TOKEN).select("cluster", F.col("key").alias("token"))
+    scored = _ordered(good, shared_order(good, query_items, target_items, tokens(qp), tokens(tp)))
     # scores that differ by their last bits only are ties
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.round("score", 9).desc(), "t"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= max(1, most)).drop("q_span", "t_span")
+    best = scored.withColumn("rank", rank).filter(F.col("rank") <= most)
+    span = lambda items, p: items.groupBy(F.col("cluster").alias(p)).agg((F.max("end") - F.min("start") + 1).alias(f"{p}_span"), F.min("genome_id").alias(f"{p}_genome"), F.min("contig_id").alias(f"{p}_contig"))
+    out = best.join(span(query_items, "q").drop("q_genome", "q_contig"), "q").join(span(target_items, "t"), "t")
+    return out.withColumn("split", F.col("t_span") * 2 < F.col("q_span")).drop("q_span", "t_span")
 
 
 def index_tables(items: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -351,7 +351,7 @@ def alignment_totals(spark, sf):
     return V.alignment_totals(li.select(F.col("l_suppkey").alias("query"), F.substring(F.col("l_shipdate").cast("date").cast("string"), 1, 7).alias("reference"), F.col("l_quantity").alias("block")))
 
 
-@query("""SELECT c_custkey, CASE WHEN trim(c_mktsegment) IN ('-', '-1') THEN '-' ELSE '+' END AS strand, c_name AS name, round(least(greatest(0.15 * 0.5 + 0.30 * 0.25 + 0.30 * (c_custkey % 10) / 10.0 + 0.10 + 0.10 * 0.5 + 0.05, 0), 1), 6) AS score,
+@query("""SELECT c_custkey, CASE WHEN trim(c_mktsegment) IN ('-', '-1') THEN '-' ELSE '+' END AS strand, regexp_replace(trim(c_name || ', ,,'), ',+$', '') AS name, round(least(greatest(0.15 * 0.5 + 0.30 * 0.25 + 0.30 * (c_custkey % 10) / 10.0 + 0.10 + 0.10 * 0.5 + 0.05, 0), 1), 6) AS score,
 CASE WHEN 0.15 * 0.5 + 0.30 * 0.25 + 0.30 * (c_custkey % 10) / 10.0 + 0.10 + 0.10 * 0.5 + 0.05 >= 0.65 THEN 'medium' WHEN 0.15 * 0.5 + 0.30 * 0.25 + 0.30 * (c_custkey % 10) / 10.0 + 0.10 + 0.10 * 0.5 + 0.05 >= 0.5 THEN 'low' ELSE 'exploratory' END AS confidence FROM customer""")
 def placement_scores(spark, sf):
     f = lambda x: F.lit(float(x))
