@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import hamming
-from ..session import materialise, ship
+from ..session import materialise
 from .components import connected_components
 from .series import file_order
 from .structure import last_occurrences
@@ -38,28 +37,29 @@ def simplify(edge_table: DataFrame, node_table: DataFrame, least: int) -> tuple[
 
 def common_tags(landmarks: DataFrame) -> DataFrame:
     """Letter sequences found in every series."""
-    kinds = landmarks.select("genome", "seq").distinct()
+    kinds = materialise(landmarks.select("genome", "seq").distinct(), "kinds")
     total = kinds.agg(F.countDistinct("genome").alias("all"))
     return kinds.groupBy("seq").agg(F.count(F.lit(1)).alias("genomes")).join(F.broadcast(total)).filter("genomes = all").select("seq")
 
 
 def near_pairs(kinds: DataFrame, distance: int) -> DataFrame:
-    """Pairs ``a < b`` of letter sequences within a Hamming distance: they agree in one of distance + 1
-    equal pieces, on which they are joined, and are then compared. At distance 1 they are joined on all
-    but one letter instead, which needs no comparison and meets only true pairs."""
-    if distance == 1:
-        masks = F.explode(F.expr("transform(sequence(1, length(seq)), n -> overlay(seq placing '*' from n for 1))")).alias("mask")
-        one = kinds.filter(F.length("seq") > 0).select("seq", masks)
-        return one.withColumnRenamed("seq", "a").join(one.withColumnRenamed("seq", "b"), "mask").filter("a < b").select("a", "b").distinct()
-    piece = lambda n: F.struct(F.lit(n).alias("n"), F.length("seq").alias("l"), F.expr(f"substring(seq, length(seq) * {n} div {distance + 1} + 1, length(seq) * {n + 1} div {distance + 1} - length(seq) * {n} div {distance + 1})").alias("p"))
-    cut = kinds.select("seq", F.explode(F.array(*(piece(n) for n in range(distance + 1)))).alias("piece"))
-    both = cut.withColumnRenamed("seq", "a").join(cut.withColumnRenamed("seq", "b"), "piece").filter("a < b").select("a", "b").distinct()
-    return both.filter(hamming(F.col("a"), F.col("b")) <= distance)
+    """Pairs ``a < b`` of letter sequences of one length within a Hamming distance: cut into pieces, they
+    agree in all but ``distance`` of them. They are joined on what is left when one piece is taken out
+    (distance 1, four pieces: long keys, which hardly any other pair shares), or on one of distance + 1
+    pieces, and are then compared."""
+    many = 4 if distance == 1 else distance + 1
+    cut = lambda n: f"length(seq) * {n} div {many}"
+    piece = lambda n: F.expr(f"substring(seq, {cut(n)} + 1, {cut(n + 1)} - {cut(n)})")
+    rest = lambda n: F.expr(f"concat(substring(seq, 1, {cut(n)}), '*', substring(seq, {cut(n + 1)} + 1))")
+    key = lambda n: F.struct(F.lit(n).alias("n"), F.length("seq").alias("l"), (rest(n) if distance == 1 else piece(n)).alias("p"))
+    keyed = kinds.select("seq", F.explode(F.array(*(key(n) for n in range(many)))).alias("key"))
+    both = keyed.withColumnRenamed("seq", "a").join(keyed.withColumnRenamed("seq", "b"), "key").filter("a < b").select("a", "b")
+    return both.filter(hamming(F.col("a"), F.col("b")) <= distance).distinct()
 
 
 def tolerant_tags(landmarks: DataFrame, distance: int) -> DataFrame:
     """Clusters of letter sequences linked by the distance that together occur in every series."""
-    kinds = landmarks.select("genome", "seq").distinct()
+    kinds = materialise(landmarks.select("genome", "seq").distinct(), "kinds")
     groups = connected_components(near_pairs(kinds.select("seq").distinct(), distance))
     named = kinds.join(groups, kinds["seq"] == groups["node"], "left").select("genome", "seq", F.coalesce("component", "seq").alias("cluster"))
     total = kinds.agg(F.countDistinct("genome").alias("all"))
@@ -67,49 +67,84 @@ def tolerant_tags(landmarks: DataFrame, distance: int) -> DataFrame:
     return full.join(F.broadcast(total)).filter("genomes = all").select("cluster", "members")
 
 
+def _ranked(arcs: DataFrame) -> DataFrame:
+    """List ranking by pointer doubling: ``x, y, lx, ly, d, low`` of arcs ``x, y`` whose next arc is
+    ``nx, ny`` (null at the end of its list): the list's last arc, the arcs up to it, this one
+    included, and the least node they lead to. Arcs of rings, which have no last one, come with null ``lx``. A round
+    doubles what each arc looks over, so there are as many rounds as the longest list's length has bits."""
+    state = materialise(arcs.select("x", "y", "nx", "ny", F.col("x").alias("lx"), F.col("y").alias("ly"), F.lit(1).cast("long").alias("d"), F.col("y").alias("low")), "arcs")
+    before = None
+    while True:
+        open_ = state.filter("nx IS NOT NULL")
+        now = tuple(open_.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("x", "y", "low"))).first())
+        if not now[0] or now == before:
+            break
+        before = now
+        further = state.select(F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("nx").alias("nx2"), F.col("ny").alias("ny2"), F.col("lx").alias("lx2"), F.col("ly").alias("ly2"), F.col("d").alias("d2"), F.col("low").alias("low2"))
+        stepped = open_.join(further, ["nx", "ny"]).select(
+            "x", "y", F.col("nx2").alias("nx"), F.col("ny2").alias("ny"), F.col("lx2").alias("lx"), F.col("ly2").alias("ly"), (F.col("d") + F.col("d2")).alias("d"), F.least("low", "low2").alias("low")
+        )
+        state = materialise(state.filter("nx IS NULL").unionByName(stepped), "arcs")
+    ended = F.col("nx").isNull()
+    return state.select("x", "y", *(F.when(ended, F.col(c)).alias(c) for c in ("lx", "ly", "d")), "low")
+
+
+def path_steps(edge_table: DataFrame) -> DataFrame:
+    """``path_id, k, seq, tags`` (nodes of the path): maximal unbranched chains of the undirected simple graph,
+    ends included. A path runs from its smaller end; a ring, also one that hangs on one branching node, from its
+    smallest node towards the smaller neighbour. A path is named by its first step, which no other path has.
+
+    Every edge is two arcs, and an arc's next one leads on through a node of two neighbours. Ranking the arcs'
+    lists gives each node its place, so no chain is gathered anywhere, however long."""
+    e = edge_table.filter("src <> tgt").select(F.least("src", "tgt").alias("x"), F.greatest("src", "tgt").alias("y")).distinct()
+    arcs = materialise(e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))), "edges")
+    inner = arcs.groupBy(F.col("x").alias("y")).agg(F.min("y").alias("one"), F.max("y").alias("two"), F.count(F.lit(1)).alias("n")).filter("n = 2").drop("n")
+    on = arcs.join(inner, "y", "left").withColumn("ny", F.when(F.col("one") == F.col("x"), F.col("two")).otherwise(F.col("one")))
+    on = materialise(on.select("x", "y", F.when(F.col("ny").isNotNull(), F.col("y")).alias("nx"), "ny"), "arcs")
+    first = materialise(_ranked(on), "ranked")
+    # a ring is cut before its smallest node, in both directions
+    ring = first.filter("lx IS NULL").select("x", "y", "low")
+    cut = F.col("y") == F.col("low")
+    opened = on.join(ring, ["x", "y"]).select("x", "y", *(F.when(~cut, F.col(c)).alias(c) for c in ("nx", "ny")))
+    ranked = materialise(first.filter("lx IS NOT NULL").unionByName(_ranked(opened)).drop("low"), "ranked")
+    # the list of the opposite arc ends where this one begins
+    back = ranked.select(F.col("y").alias("x"), F.col("x").alias("y"), F.col("ly").alias("fx"), F.col("lx").alias("fy"), (F.col("d") - 1).alias("k"))
+    placed = ranked.join(back, ["x", "y"]).filter("fx <= ly")
+    last = (F.col("d") == 1) & (F.col("fx") != F.col("ly"))
+    stops = F.when(last, F.array(F.struct("k", F.col("x").alias("seq")), F.struct((F.col("k") + 1).alias("k"), F.col("y").alias("seq")))).otherwise(F.array(F.struct("k", F.col("x").alias("seq"))))
+    nodes_ = materialise(placed.select("fx", "fy", (F.col("fx") == F.col("ly")).alias("ring"), (F.col("k") + F.col("d")).alias("size"), F.explode(stops).alias("s")).select("fx", "fy", "ring", "size", "s.k", "s.seq"), "steps")
+    line = nodes_.filter("not ring").select(F.concat_ws(">", "fx", "fy").alias("path_id"), "k", "seq", (F.col("size") + 1).alias("tags"))
+    loop = nodes_.filter("ring")
+    turn = loop.groupBy("fx", "fy").agg(F.min_by("k", "seq").alias("at"))
+    turned = loop.join(turn, ["fx", "fy"]).withColumn("k", (F.col("k") - F.col("at") + F.col("size")) % F.col("size"))
+    at = lambda k: F.max(F.when(F.col("k") == k, F.col("seq")))
+    named = turned.groupBy("fx", "fy").agg(at(F.lit(0)).alias("a"), at(F.lit(1)).alias("b"), at(F.col("size") - 1).alias("z")).filter("b < z")
+    loops = turned.join(named, ["fx", "fy"]).select(F.concat_ws(">", "a", "b").alias("path_id"), "k", "seq", F.col("size").alias("tags"))
+    return line.unionByName(loops)
+
+
 def linear_paths(edge_table: DataFrame) -> DataFrame:
-    """``path_id, path``: maximal unbranched chains of the undirected simple graph, ends included. A
-    path runs from its smaller end; a ring from its smallest node towards the smaller neighbour. A path is
-    named by its first step, which no other path has.
-
-    Inner nodes (two neighbours) are tied together as components; one task orders one chain."""
-    ship(edge_table.sparkSession)
-    e = materialise(edge_table.filter("src <> tgt").select(F.least("src", "tgt").alias("x"), F.greatest("src", "tgt").alias("y")).distinct(), "edges")
-    degree = e.select(F.explode(F.array("x", "y")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("d"))
-    inner = materialise(degree.filter("d = 2").select("n"), "inner")
-    flagged = e
-    for c in ("x", "y"):
-        flagged = flagged.join(inner.select(F.col("n").alias(c), F.lit(True).alias(f"i{c}")), c, "left")
-    flagged = materialise(flagged.select("x", "y", *(F.coalesce(f"i{c}", F.lit(False)).alias(f"i{c}") for c in "xy")), "edges")
-    groups = materialise(connected_components(flagged.filter("ix and iy").select("x", "y")), "chains")
-    whole = inner.join(groups, inner["n"] == groups["node"], "left").select("n", F.coalesce("component", "n").alias("chain"))
-    at = F.when(F.col("ix"), F.col("x")).when(F.col("iy"), F.col("y"))
-    named = flagged.withColumn("n", at).join(whole, "n", "left").select("x", "y", F.coalesce("chain", F.concat("x", F.lit("|"), "y")).alias("chain"))
-
-    def order(rows: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, list[str]] = {}
-        for x, y in zip(rows["x"], rows["y"], strict=True):
-            near.setdefault(x, []).append(y)
-            near.setdefault(y, []).append(x)
-        ends = sorted(n for n, v in near.items() if len(v) == 1)
-        start = ends[0] if ends else min(near)
-        path, last, here = [start], None, start
-        while True:
-            nxt = sorted(n for n in near[here] if n != last)
-            if not nxt or nxt[0] == start:
-                break
-            last, here = here, nxt[0]
-            path.append(here)
-            if len(path) > len(near):
-                break
-        return pd.DataFrame({"path_id": [">".join(path[:2])], "path": [path]})
-
-    return named.groupBy("chain").applyInPandas(order, "path_id string, path array<string>")
+    """``path_id, path``: the chains of ``path_steps`` as lists."""
+    return path_lists(path_steps(edge_table))
+
+
+def path_lists(steps: DataFrame) -> DataFrame:
+    ordered = F.array_sort(F.collect_list(F.struct("k", "seq")))
+    return steps.groupBy("path_id").agg(F.transform(ordered, lambda s: s["seq"]).alias("path"))
+
+
+def _as_steps(paths: DataFrame) -> DataFrame:
+    """Paths as rows, from lists or as they are."""
+    if "path" not in paths.columns:
+        return paths
+    return paths.select("path_id", F.size("path").alias("tags"), F.posexplode("path").alias("k", "seq"))
 
 
 def path_scores(paths: DataFrame, edge_table: DataFrame, series: int) -> DataFrame:
     """Mean edge weight over the number of series, times min(1, sqrt(length / 10))."""
-    steps = paths.select("path_id", "path", F.posexplode(F.arrays_zip(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))).alias("s"), F.slice("path", 2, F.size("path")).alias("t")))).select("path_id", F.size("path").alias("length"), "col.s", "col.t")
+    at = _as_steps(paths)
+    after = at.select("path_id", (F.col("k") - 1).alias("k"), F.col("seq").alias("t"))
+    steps = at.select("path_id", "k", F.col("tags").alias("length"), F.col("seq").alias("s")).join(after, ["path_id", "k"])
     ahead = edge_table.select(F.col("src").alias("s"), F.col("tgt").alias("t"), F.col("weight").alias("w1"))
     back = edge_table.select(F.col("tgt").alias("s"), F.col("src").alias("t"), F.col("weight").alias("w2"))
     w = steps.join(ahead, ["s", "t"], "left").join(back, ["s", "t"], "left")
@@ -119,7 +154,7 @@ def path_scores(paths: DataFrame, edge_table: DataFrame, series: int) -> DataFra
 def blocks(paths: DataFrame, node_table: DataFrame) -> DataFrame:
     """For each path and series that carries all of it: ``path_id, genome, begin, end, strand, tags``;
     paths carried by at least two series."""
-    steps = paths.filter(F.size("path") >= 2).select("path_id", F.size("path").alias("tags"), F.posexplode("path").alias("k", "seq"))
+    steps = _as_steps(paths).filter("tags >= 2")
     on = steps.join(node_table, "seq").groupBy("path_id", "genome", "tags").agg(
         F.min("gpos").alias("begin"), F.max("gpos").alias("end"), F.min_by("strand", "k").alias("strand"), F.count(F.lit(1)).alias("n")
     ).filter("n = tags").drop("n")
@@ -135,7 +170,7 @@ def blocks_of_size(block_table: DataFrame, least: int) -> DataFrame:
 def indels(paths: DataFrame, block_table: DataFrame, node_table: DataFrame) -> DataFrame:
     """Summed length differences of neighbouring landmarks by block and pair of series (ga < gb), where
     a difference is at least 100 and a tenth of the mean."""
-    steps = paths.select("path_id", F.posexplode("path").alias("k", "seq"))
+    steps = _as_steps(paths).select("path_id", "k", "seq")
     at = steps.join(block_table.select("path_id"), "path_id", "left_semi").join(node_table, "seq").join(block_table.select("path_id", "genome"), ["path_id", "genome"], "left_semi")
     gap = at.withColumn("d", F.abs(F.lead("gpos").over(Window.partitionBy("path_id", "genome").orderBy("k")) - F.col("gpos"))).filter("d > 0").select("path_id", "k", "genome", "d")
     a, b = gap.withColumnsRenamed({"genome": "ga", "d": "da"}), gap.withColumnsRenamed({"genome": "gb", "d": "db"})

@@ -6,9 +6,12 @@ series share most landmarks the pair rows are the answer's own size, not an inte
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import hamming
@@ -193,17 +196,80 @@ def _inversions(x: np.ndarray) -> int:
     return total
 
 
-def kendall_tau(landmarks: DataFrame) -> DataFrame:
-    """1 - 2 * inversions / pairs of the common landmarks' order; 0 where fewer than two."""
+def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Inversions between rows of different ``i``: rows ``ga, gb, part, i, v, n`` in order of the first
+    four; for each (ga, gb, part) the pairs with a smaller i and a larger v. Only counts of the v seen so far are
+    held."""
+    key, seen, base, total, row, step = None, np.zeros(0, np.int64), 0, 0, None, []
+    out: list[tuple] = []
+
+    def settle() -> None:
+        nonlocal seen, base, total, step
+        if not step:
+            return
+        v, n = (np.concatenate(c) for c in zip(*step, strict=True))
+        low, high = int(v.min()), int(v.max())
+        if not len(seen):
+            base = low
+        if low < base:
+            seen, base = np.concatenate([np.zeros(base - low, np.int64), seen]), low
+        if high >= base + len(seen):
+            seen = np.concatenate([seen, np.zeros(high + 1 - base - len(seen), np.int64)])
+        above = np.cumsum(seen[::-1])[::-1] - seen
+        total += int((above[v - base] * n).sum())
+        np.add.at(seen, v - base, n)
+        step = []
+
+    for batch in batches:
+        pairs = list(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True))
+        v, n = (batch.column(c).to_numpy() for c in (4, 5))
+        at = 0
+        while at < len(pairs):
+            end = at
+            while end < len(pairs) and pairs[end] == pairs[at]:
+                end += 1
+            if pairs[at] != row:
+                settle()
+                if pairs[at][:3] != key:
+                    if key is not None:
+                        out.append((*key[:2], total))
+                    key, seen, total = pairs[at][:3], np.zeros(0, np.int64), 0
+                row = pairs[at]
+            step.append((v[at:end], n[at:end]))
+            at = end
+    settle()
+    if key is not None:
+        out.append((*key[:2], total))
+    yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["ga", "gb", "inversions"])
+
+
+def kendall_tau(landmarks: DataFrame, block: int = 50_000) -> DataFrame:
+    """1 - 2 * inversions / pairs of the common landmarks' order; 0 where fewer than two.
+
+    Places of both series are cut into blocks, so that a pair of long series is no single task's. Inverted
+    landmarks lie in one block of B (counted there), in different blocks of both (from a histogram of blocks), or
+    in different blocks of B and one of A (from the places of that block)."""
     ship(landmarks.sparkSession)
 
-    def count(rows: pd.DataFrame) -> pd.DataFrame:
+    def inside(rows: pd.DataFrame) -> pd.DataFrame:
         x = rows.sort_values("rb")["ra"].to_numpy()
-        n = len(x)
-        tau = 1 - 2 * _inversions(x) / (n * (n - 1) / 2) if n >= 2 else 0.0
-        return pd.DataFrame({"ga": [rows["ga"].iloc[0]], "gb": [rows["gb"].iloc[0]], "common": [n], "tau": [tau]})
-
-    return _ranks(landmarks).groupBy(*PAIR).applyInPandas(count, "ga string, gb string, common long, tau double")
+        return pd.DataFrame({"ga": [rows["ga"].iloc[0]], "gb": [rows["gb"].iloc[0]], "inversions": [int(_inversions(x))]})
+
+    blocked = lambda c: F.floor(F.col(c) / block).cast("long")
+    ranks = materialise(_ranks(landmarks).select(*PAIR, F.col("ra").cast("long").alias("ra"), F.col("rb").cast("long").alias("rb")), "ranks")
+    ranks = ranks.withColumns({"ja": blocked("ra"), "jb": blocked("rb")})
+    form = "ga string, gb string, inversions long"
+
+    def between(part: Column, value: str) -> DataFrame:
+        cells = ranks.groupBy(*PAIR, part.alias("part"), F.col("jb").alias("i"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        order = [*PAIR, "part", "i"]
+        return cells.repartition(*PAIR, "part").sortWithinPartitions(*order).select(*order, "v", "n").mapInArrow(_between, form)
+
+    every = ranks.groupBy(*PAIR, "jb").applyInPandas(inside, form).unionByName(between(F.lit(0).cast("long"), "ja")).unionByName(between(F.col("ja"), "ra"))
+    common = ranks.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("common"))
+    n = F.col("common")
+    tau = F.when(n >= 2, 1 - 2 * F.col("inversions") / (n * (n - 1) / 2)).otherwise(0.0)
+    return every.groupBy(*PAIR).agg(F.sum("inversions").alias("inversions")).join(common, list(PAIR)).select(*PAIR, "common", tau.alias("tau"))
 
 
 def _positions(landmarks: DataFrame) -> DataFrame:

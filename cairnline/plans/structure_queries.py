@@ -69,15 +69,6 @@ def canonical_stats(spark, sf):
     )
 
 
-@query(f"""WITH {_contigs()}, k AS (SELECT DISTINCT substr(seq, 1, 40) AS s FROM contigs WHERE length(seq) >= 4)
-SELECT s, reverse(translate(s, 'ACGT', 'TGCA')) AS rc, round(length(regexp_replace(s, '[^GC]', '', 'g')) / length(s), 6) AS gc, reverse(translate(s, 'ACGT', 'TGCA')) = s AS pal,
-true AS valid, ('0x' || substr(sha256(s), 1, 12))::BIGINT AS h, round(greatest(0, -ln(2 * 0.5 / 1.5) / length(s)), 6) AS mash FROM k""")
-def scalar_functions(spark, sf):
-    s = F.col("s")
-    k = A.contigs(spark, sf).filter("length >= 4").select(F.substring("seq", 1, 40).alias("s")).distinct()
-    return k.select("s", revcomp(s).alias("rc"), R(gc_content(s)).alias("gc"), is_palindromic(s).alias("pal"), valid_dna(s).alias("valid"), stable_hash(s).alias("h"), R(mash_distance(F.lit(0.5), 1) / F.length(s)).alias("mash"))
-
-
 @query(f"""WITH {_contigs()} SELECT genome, contig_id, sha256(reverse(translate(seq, 'ACGT', 'TGCA'))) AS rc, round(length(regexp_replace(seq, '[^GC]', '', 'g')) / length(seq), 6) AS gc,
 reverse(translate(seq, 'ACGT', 'TGCA')) = seq AS pal, true AS valid, ('0x' || substr(sha256(seq), 1, 12))::BIGINT AS h, round(greatest(0, -ln(2 * 0.5 / 1.5) / length(seq)), 6) AS mash FROM contigs WHERE length(seq) >= 4""")
 def scalar_functions_whole(spark, sf):
@@ -258,14 +249,6 @@ def windowed_approximate(spark, sf):
     return structure.windowed_approximate(A.landmarks(spark, sf, A.SPARSE), 5000).withColumn("similarity", R("similarity"))
 
 
-@query(f"""WITH {_contigs()}, k AS (SELECT DISTINCT contig_id % 1000 AS x FROM contigs), a AS (SELECT x, ((x::UHUGEINT + 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM k),
-b AS (SELECT x, ((xor(z, z >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM a), c AS (SELECT x, ((xor(z, z >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM b)
-SELECT x, hex(xor(z, z >> 31)) AS h FROM c""")
-def splitmix_hash(spark, sf):
-    k = A.contigs(spark, sf).select((F.col("contig_id") % 1000).alias("x")).distinct()
-    return splitmix64_native(k, "x", "z").select("x", F.hex("z").alias("h"))
-
-
 @query("""WITH k AS (SELECT DISTINCT doc_id AS x FROM documents), a AS (SELECT x, ((x::UHUGEINT + 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM k),
 b AS (SELECT x, ((xor(z, z >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM a), c AS (SELECT x, ((xor(z, z >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM b)
 SELECT x, hex(xor(z, z >> 31)) AS h FROM c""")
@@ -330,7 +313,7 @@ def _graph(spark, sf):
     m = materialise(A.landmarks(spark, sf), "marks")
     e, n = graph.simplify(graph.edges(m), graph.nodes(m), 2)
     e, n = materialise(e.drop("distances"), "edges"), materialise(n, "nodes")
-    return e, n, materialise(graph.linear_paths(e), "paths")
+    return e, n, materialise(graph.path_steps(e), "paths")
 
 
 #: Unbranched paths by walking from every end, and round every ring, in both directions.
@@ -348,14 +331,15 @@ blocks AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY path_id) AS g, m
 
 @query(f"{GRAPH} SELECT path_id, array_to_string(path, ',') AS path FROM paths")
 def linear_paths(spark, sf):
-    return _graph(spark, sf)[2].withColumn("path", F.array_join("path", ","))
+    return graph.path_lists(_graph(spark, sf)[2]).withColumn("path", F.array_join("path", ","))
 
 
 @query(f"""{GRAPH}, s AS (SELECT path_id, tags, seq AS x, lead(seq) OVER (PARTITION BY path_id ORDER BY k) AS y FROM steps)
-SELECT path_id, round(avg(coalesce(a.weight, b.weight, 0)) / 20 * least(1, sqrt(max(tags) / 10)), 6) AS score FROM s LEFT JOIN ew a ON (a.src, a.tgt) = (x, y) LEFT JOIN ew b ON (b.src, b.tgt) = (y, x) WHERE y IS NOT NULL GROUP BY 1""")
+SELECT path_id, round(avg(coalesce(a.weight, b.weight, 0)) / (SELECT count(DISTINCT source) FROM documents) * least(1, sqrt(max(tags) / 10)), 6) AS score FROM s LEFT JOIN ew a ON (a.src, a.tgt) = (x, y) LEFT JOIN ew b ON (b.src, b.tgt) = (y, x) WHERE y IS NOT NULL GROUP BY 1""")
 def path_scores(spark, sf):
     e, n, p = _graph(spark, sf)
-    return graph.path_scores(p, e, 20).withColumn("score", R("score"))
+    series = A.table(spark, sf, "documents").select("source").distinct().filter("source IS NOT NULL").count()
+    return graph.path_scores(p, e, series).withColumn("score", R("score"))
 
 
 @query(f"""{GRAPH} SELECT path_id, genome, "begin", "end", strand, tags FROM blocks WHERE short >= 1""")
@@ -478,15 +462,6 @@ def chimera_scan(spark, sf):
     return out.withColumns({c: R(c) for c in ("score", "second_score", "chimera_confidence")})
 
 
-@query(f"""WITH {marks()}, h AS (SELECT d.contig_id, r.rev, f.gpos AS rpos FROM (SELECT * FROM marks WHERE genome = 'src1') d, (VALUES (false), (true)) r(rev), (SELECT * FROM marks WHERE genome <> 'src1') f WHERE f.seq = CASE WHEN r.rev THEN reverse(translate(d.seq, 'ACGT', 'TGCA')) ELSE d.seq END),
-e AS (SELECT contig_id, rev, count(*) AS shared, list_sort(list(rpos)) AS places FROM h GROUP BY 1, 2), s AS (SELECT contig_id, coalesce(max(shared) FILTER (rev) > 2 * coalesce(max(shared) FILTER (NOT rev), 0), false) AS rev FROM e GROUP BY 1)
-SELECT contig_id, rev AS reverse, shared, places[len(places) // 2 + 1] AS median_ref FROM e JOIN s USING (contig_id, rev) WHERE shared >= 2""")
-def scaffold_orientation(spark, sf):
-    m = materialise(A.landmarks(spark, sf), "marks")
-    size = A.contigs(spark, sf).select("contig_id", "length")
-    return placement.scaffold(m.filter("genome <> 'src1'"), m.filter("genome = 'src1'"), size, 2).select("contig_id", "reverse", "shared", "median_ref")
-
-
 @query()
 def scaffold_orientation_all(spark, sf):
     """Every source as a draft against all others."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clean_field, confidence, parse_size, placement_score, strand, token_weight
@@ -164,11 +165,16 @@ def threshold_counts(spark, sf):
     return V.threshold_counts(best, "bits", [20000, 40000, 60000])
 
 
-@query("""WITH h AS (SELECT l_suppkey % 50 AS qc, l_partkey % 50 AS tc, l_suppkey AS q, l_partkey AS t, max(l_extendedprice) AS bits FROM lineitem GROUP BY 1, 2, 3, 4)
-SELECT qc, tc, round(max(bits), 4) AS top, round(sum(bits), 2) AS total, round(sum(bits) / sqrt(4 * 9), 2) AS scaled FROM h GROUP BY 1, 2""")
+@query("""WITH h AS (SELECT s_nationkey AS qc, p_brand AS tc, l_suppkey AS q, l_partkey AS t, max(l_extendedprice) AS bits FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2, 3, 4)
+SELECT qc, tc, round(max(bits), 4) AS top, round(sum(bits), 2) AS total, round(sum(bits) / sqrt(max(nq.n) * max(nt.n)), 6) AS scaled FROM h JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) nq ON s_nationkey = qc
+JOIN (SELECT p_brand, count(*) AS n FROM part GROUP BY 1) nt ON p_brand = tc GROUP BY 1, 2""")
 def cluster_bits(spark, sf):
-    h = _hits(spark, sf).select((F.col("sk") % 50).alias("qc"), (F.col("target") % 50).alias("tc"), F.col("sk").alias("query"), "target", "bits", F.lit(4).alias("nq"), F.lit(9).alias("nt"))
-    return V.cluster_bits(h).select("qc", "tc", F.round("top", 4).alias("top"), F.round("total", 2).alias("total"), F.round("scaled", 2).alias("scaled"))
+    """Suppliers are grouped by nation and parts by brand."""
+    sized = lambda t, key, group, c, n: t.select(F.col(key), F.col(group).alias(c)).withColumn(n, F.count(F.lit(1)).over(Window.partitionBy(c)))
+    q = sized(A.table(spark, sf, "supplier"), "s_suppkey", "s_nationkey", "qc", "nq").withColumnRenamed("s_suppkey", "sk")
+    t = sized(A.table(spark, sf, "part"), "p_partkey", "p_brand", "tc", "nt").withColumnRenamed("p_partkey", "target")
+    h = _hits(spark, sf).join(q, "sk").join(t, "target").select("qc", "tc", F.col("sk").alias("query"), "target", "bits", "nq", "nt")
+    return V.cluster_bits(h).select("qc", "tc", F.round("top", 4).alias("top"), F.round("total", 2).alias("total"), R("scaled").alias("scaled"))
 
 
 @query("""SELECT event_type, round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.75), 6) AS p75,
