@@ -10,20 +10,25 @@ Runs of the items (a table whose size is checked) are looked up where the texts
 ``most_seeds`` runs they are joined instead. Only texts with a shared run travel further, once for
 equal texts.
 
+Items are told by their texts, never by their ids: ids are joined last, so an item without an id counts
+like any other, and items that share an id are matched one by one.
+
 Defined results: null and empty texts or items match nothing; an item under ``least`` words is matched
-as one run of all its words; equal items are reported each by its id; equal texts alike.
+as one run of all its words; items of one text are reported by each of their ids, once for each; a null id is
+reported as null, and different items of one id as rows of that id; equal texts alike.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, slices
+from .common import discard, materialise, slices
 from .wordhash import MIX, alnum_words, mixed, runs, split_hashes, word_hashes
 
 
@@ -49,39 +54,46 @@ def windows(h: np.ndarray, size: int) -> np.ndarray:
     return mixed(out)
 
 
+#: Places of one search beyond which longer runs are searched first, as in texts that repeat themselves.
+MANY = 4_000_000
+
+
 def tile(item: np.ndarray, text: np.ndarray, least: int, first: int = 24) -> list[tuple[int, int, int]]:
-    """Tiles (begin in item, begin in text, length): maximal common runs, longest first, no overlap."""
+    """Tiles (begin in item, begin in text, length): again and again the longest common run of unmarked
+    words (of equals that begins first in the item, then in the text), until none has ``least``.
+
+    Runs of at least ``size`` words are searched for, then shorter ones. Marking only shortens runs, so what
+    is left of a run that is partly taken goes back into the order of lengths, and when the order is empty no
+    run of that size is left."""
     free_item, free_text = np.ones(len(item), bool), np.ones(len(text), bool)
     tiles: list[tuple[int, int, int]] = []
-    size = max(least, min(first, len(item)))
-    while True:
-        found = _common(item, text, free_item, free_text, size)
-        longest = max((m[0] for m in found), default=0)
-        if longest > 2 * size:
-            size = longest
+    above = min(len(item), len(text)) + 1  # no run of that many words is left
+    size = max(least, min(first, above - 1))
+    while above > least:
+        found = _common(item, text, free_item, free_text, size, MANY if size + 1 < above else None)
+        if found is None:
+            size = min(2 * size, above - 1)
             continue
-        for n, a, b in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-            if free_item[a: a + n].all() and free_text[b: b + n].all():
-                free_item[a: a + n] = False
-                free_text[b: b + n] = False
+        heapq.heapify(found)
+        while found:
+            n, a, b = heapq.heappop(found)
+            n = -n
+            taken = np.flatnonzero(~(free_item[a : a + n] & free_text[b : b + n] & (item[a : a + n] == text[b : b + n])))
+            if not len(taken):
+                free_item[a : a + n] = False
+                free_text[b : b + n] = False
                 tiles.append((a, b, n))
-            elif n > size:  # part of it is taken: what is left may be as long as the search length
-                a2, b2 = a, b
-                while n and not (free_item[a2] and free_text[b2]):
-                    a2, b2, n = a2 + 1, b2 + 1, n - 1
-                while n and not (free_item[a2 + n - 1] and free_text[b2 + n - 1]):
-                    n -= 1
-                if n >= size and free_item[a2: a2 + n].all() and free_text[b2: b2 + n].all():
-                    free_item[a2: a2 + n] = False
-                    free_text[b2: b2 + n] = False
-                    tiles.append((a2, b2, n))
-        if size == least:
-            return tiles
-        size = max(least, size // 2)
-
-
-def _common(item: np.ndarray, text: np.ndarray, free_item: np.ndarray, free_text: np.ndarray, size: int) -> list[tuple[int, int, int]]:
-    """Unmarked common runs of at least ``size``, extended to the right as far as they go."""
+                continue
+            for low, high in zip([-1, *taken.tolist()], [*taken.tolist(), n], strict=True):
+                if high - low - 1 >= size:
+                    heapq.heappush(found, (low + 1 - high, a + low + 1, b + low + 1))
+        above, size = size, max(least, size // 2)
+    return tiles
+
+
+def _common(item: np.ndarray, text: np.ndarray, free_item: np.ndarray, free_text: np.ndarray, size: int, most: int | None) -> list[tuple[int, int, int]] | None:
+    """Longest unmarked common runs of at least ``size`` words as (-length, begin in item, begin in text); None
+    if more than ``most`` places match."""
     def open_runs(h: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = windows(h, size)
         taken = np.concatenate([[0], np.cumsum(~free)])
@@ -95,20 +107,18 @@ def _common(item: np.ndarray, text: np.ndarray, free_item: np.ndarray, free_text
         return []
     order = np.argsort(w_item, kind="stable")
     low, high = np.searchsorted(w_item[order], w_text), np.searchsorted(w_item[order], w_text, side="right")
-    found, done = [], set()
-    for k in np.flatnonzero(high > low).tolist():
-        b = int(at_text[k])
-        for a in at_item[order[low[k]: high[k]]].tolist():
-            if (a - 1, b - 1) in done:  # inside a run that began further left
-                done.add((a, b))
-                continue
-            done.add((a, b))
-            n = 0
-            while a + n < len(item) and b + n < len(text) and item[a + n] == text[b + n] and free_item[a + n] and free_text[b + n]:
-                n += 1
-            if n >= size:
-                found.append((n, a, b))
-    return found
+    many = high - low
+    total = int(many.sum())
+    if most is not None and total > most:
+        return None
+    b = np.repeat(at_text, many)
+    a = at_item[order[np.repeat(low - np.cumsum(many) + many, many) + np.arange(total)]]
+    # places that follow each other on one diagonal are one run
+    along = np.lexsort((a, b - a))
+    a, b = a[along], b[along]
+    begins = np.flatnonzero(np.concatenate([[True], (np.diff(a) != 1) | (np.diff(b) != 1)])) if total else np.zeros(0, np.int64)
+    lengths = np.diff(np.append(begins, total)) + size - 1
+    return list(zip((-lengths).tolist(), a[begins].tolist(), b[begins].tolist(), strict=True))
 
 
 def contaminated(
@@ -117,11 +127,12 @@ def contaminated(
     """Reported pairs of text and item: ``key, item_id, coverage, tiles, longest, n_item``; ``key``
     is the text's digest."""
     spark = docs.sparkSession
-    item_kind = items.schema["item_id"].dataType.simpleString()
+    named = items.select("item_id", text_key().alias("item_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("item"))
+    whole = materialise(named.groupBy("item_key").agg(F.first("item").alias("item")), "items")
 
     def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = split_hashes([alnum_words(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()], word_hashes)
+            each = split_hashes([alnum_words(t) for t in batch.column("item").to_pylist()], word_hashes)
             at, seed, places = [], [], []
             for n, h in enumerate(each):
                 r, many = np.unique(runs(h, min(least, len(h)) or 1).view(np.int64), return_counts=True)
@@ -130,9 +141,9 @@ def contaminated(
                 places += many.tolist()
             sizes = pa.array([len(h) for h in each], pa.int32())
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("item_id").take(take), sizes.take(take), pa.array(seed, pa.int64()), pa.array(places, pa.int64())], ["item_id", "n_item", "seed", "places"])
+            yield pa.RecordBatch.from_arrays([batch.column("item_key").take(take), sizes.take(take), pa.array(seed, pa.int64()), pa.array(places, pa.int64())], ["item_key", "n_item", "seed", "places"])
 
-    seeds = materialise(items.select("item_id", F.col("text").cast("string")).mapInArrow(item_seeds, f"item_id {item_kind}, n_item int, seed long, places long"), "seeds")
+    seeds = materialise(whole.mapInArrow(item_seeds, "item_key string, n_item int, seed long, places long"), "seeds")
     counts = {r["n_item"]: r["n"] for r in seeds.filter(f"n_item < {least}").groupBy("n_item").agg(F.count(F.lit(1)).alias("n")).collect()}
     short = sorted(int(n) for n in counts if n)
     small = seeds.select("seed").distinct().limit(most_seeds + 1).count() <= most_seeds
@@ -159,11 +170,26 @@ def contaminated(
     seeded = seeded.mapInArrow(hashed, "key string, seeds array<long>, text binary")
     seeded = materialise(seeded.groupBy("key").agg(F.first("seeds").alias("seeds"), F.first("text").alias("text")), "seeded")
     # A tile of n words begins or goes through n - least + 1 places of the item where a seed stands, so
-    # tiles of the coverage asked for need a share of such places; pairs with fewer end here, before texts move.
-    enough = F.sum("places") * least >= F.ceil(F.lit(coverage) * F.first("n_item"))
-    pairs = seeded.select("key", F.explode("seeds").alias("seed")).join(seeds, "seed").groupBy("key", "item_id").agg(enough.alias("enough")).filter("enough")
-    wanted = pairs.select("key", "item_id").join(items.select("item_id", F.col("text").cast("binary").alias("item")), "item_id")
-    wanted = wanted.join(seeded.select("key", "text"), "key")
+    # tiles of the coverage asked for need a share of such places. Texts and items meet on the item's rarest seeds:
+    # those without which fewer places are left than are needed. A seed of every text is the last of them.
+    need = F.ceil(F.ceil(F.lit(coverage) * F.col("n_item")) / least)
+    often = seeded.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("often"))
+    left = F.sum("places").over(Window.partitionBy("item_key").orderBy(F.desc("often"), "seed"))
+    rare = seeds.join(often, "seed").withColumn("left", left).filter(F.col("left") >= need).select("item_key", "seed")
+    pairs = seeded.select("key", F.explode("seeds").alias("seed")).join(rare, "seed").select("key", "item_key").distinct()
+    bag = seeds.groupBy("item_key").agg(F.first("n_item").alias("n_item"), F.collect_list(F.struct("seed", "places")).alias("bag"))
+
+    def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs whose shared places can make the coverage; others end here, before texts move."""
+        for batch in batches:
+            good = []
+            for n, item, mine in zip(batch.column("n_item").to_pylist(), batch.column("bag"), batch.column("seeds"), strict=True):
+                seed, places = (item.values.field(c).to_numpy() for c in ("seed", "places"))
+                good.append(int(places[np.isin(seed, mine.values.to_numpy())].sum()) * least >= np.ceil(coverage * n))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good, pa.bool_())) for c in ("key", "item_key")], ["key", "item_key"])
+
+    met = pairs.join(bag, "item_key").join(seeded.select("key", "seeds"), "key").select("key", "item_key", "n_item", "bag", "seeds")
+    wanted = met.mapInArrow(enough, "key string, item_key string").join(whole, "item_key").join(seeded.select("key", "text"), "key")
 
     def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 200):
@@ -180,11 +206,13 @@ def contaminated(
             columns = [pa.array([r[n] for r in rows], t) for n, t in enumerate(kinds)]
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key").take(take), batch.column("item_id").take(take), *columns], ["key", "item_id", "coverage", "tiles", "longest", "n_item"]
+                [batch.column("key").take(take), batch.column("item_key").take(take), *columns], ["key", "item_key", "coverage", "tiles", "longest", "n_item"]
             )
 
-    found = materialise(wanted.mapInArrow(tiled, f"key string, item_id {item_kind}, coverage double, tiles int, longest int, n_item int"), "tiles")
-    return found
+    found = materialise(wanted.mapInArrow(tiled, "key string, item_key string, coverage double, tiles int, longest int, n_item int"), "tiles")
+    for table in (seeded, seeds, whole):
+        discard(table)
+    return found.join(named.select("item_id", "item_key").distinct(), "item_key").select("key", "item_id", "coverage", "tiles", "longest", "n_item")
 
 
 def text_key() -> Column:
