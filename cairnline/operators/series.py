@@ -34,7 +34,10 @@ def on_series(landmarks: DataFrame, offsets: DataFrame) -> DataFrame:
 
 
 def oriented(landmarks: DataFrame) -> DataFrame:
-    """Landmarks with ``canon``, ``rc`` (stored as the reverse of it) and ``pal`` (its own reverse)."""
+    """Landmarks with ``canon``, ``rc`` (stored as the reverse of it) and ``pal`` (its own reverse), where they
+    don't have them yet."""
+    if {"canon", "rc", "pal"} <= set(landmarks.columns):
+        return landmarks
     s = F.col("seq")
     return landmarks.withColumns({"canon": canonical(s), "rc": is_reverse(s), "pal": is_palindromic(s)})
 

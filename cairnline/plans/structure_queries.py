@@ -9,7 +9,7 @@ from ..operators import graph, placement, series, structure
 from ..operators.catalog import ENZYMES
 from ..operators.digest import digest_native
 from ..operators.sketch import sketch, splitmix64_native
-from ..session import materialise
+from ..session import exists, fingerprint, materialise, shared_dir
 from . import adapters as A
 from .registry import query
 
@@ -371,27 +371,31 @@ bp AS (SELECT q, t.genome, count(*) AS seed_pairs FROM qp JOIN tp t USING (a, b)
 
 
 def _placement(spark, sf):
-    m = materialise(A.landmarks(spark, sf), "marks")
-    queries = placement.query_landmarks(m)
-    index = placement.build_index(m)
+    """Landmarks of the documents and their index, from the shared folder; written there when first asked for
+    and again when the table's files change."""
+    place = f"{shared_dir(spark)}/placement-{fingerprint(A.table(spark, sf, 'documents'))}"
+    if not exists(spark, f"{place}/index/meta/_SUCCESS"):
+        series.oriented(A.landmarks(spark, sf)).write.mode("overwrite").parquet(f"{place}/landmarks")
+        placement.keep_index(spark.read.parquet(f"{place}/landmarks"), f"{place}/index")
+    m = spark.read.parquet(f"{place}/landmarks")
     size = A.contigs(spark, sf).select(F.concat_ws(":", "genome", "contig_id").alias("q"), "length")
-    return m, queries, index, size
+    return m, placement.query_landmarks(m), placement.open_index(spark, f"{place}/index"), size
 
 
 @query(f"{SEEDS} SELECT q, genome, seed_tags, seed_pairs FROM chosen")
 def candidate_seeds(spark, sf):
-    _, queries, (tags, pairs), _ = _placement(spark, sf)
-    mine = placement.query_pairs(queries, tags.select("canon").distinct())
-    return placement.candidates(queries, mine, tags, pairs, 3, 2, True).select("q", "genome", "seed_tags", "seed_pairs")
+    _, queries, index, _ = _placement(spark, sf)
+    mine = placement.query_pairs(queries, index.kinds)
+    return placement.candidates(queries, mine, index.kinds, index.pair_kinds, 3, 2, True, True).select("q", "genome", "seed_tags", "seed_pairs")
 
 
 @query(f"""{SEEDS}, once AS (SELECT q, canon, max(gpos) AS qpos FROM q GROUP BY 1, 2 HAVING count(*) = 1), m AS (SELECT c.q, c.genome, t.contig_id, t.canon, qpos, t.gpos AS rpos FROM chosen c JOIN once USING (q) JOIN marks t ON t.genome = c.genome AND t.canon = once.canon)
 SELECT q, genome, contig_id, canon, qpos, rpos FROM (SELECT *, count(*) OVER (PARTITION BY q, genome, contig_id, canon) AS n FROM m) WHERE n = 1""")
 def placement_anchors(spark, sf):
-    _, queries, (tags, pairs), _ = _placement(spark, sf)
-    mine = placement.query_pairs(queries, tags.select("canon").distinct())
-    chosen = materialise(placement.candidates(queries, mine, tags, pairs, 3, 2, True), "chosen")
-    return placement.anchors(queries, chosen, tags).select("q", "genome", "contig_id", "canon", "qpos", "rpos")
+    _, queries, index, _ = _placement(spark, sf)
+    mine = placement.query_pairs(queries, index.kinds)
+    chosen = materialise(placement.candidates(queries, mine, index.kinds, index.pair_kinds, 3, 2, True, True), "chosen")
+    return placement.anchors(queries, chosen, index.tags).select("q", "genome", "contig_id", "canon", "qpos", "rpos")
 
 
 def _ranked(windows: str, own: str, pairs: int) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -52,3 +53,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fingerprint(df: DataFrame) -> str:
+    """A digest of the files a table is read from: their names, sizes and times."""
+    spark, parts = df.sparkSession, []
+    for name in sorted(df.inputFiles()):
+        place = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place)
+        parts.append(f"{name}:{status.getLen()}:{status.getModificationTime()}")
+    return hashlib.md5("\n".join(parts).encode()).hexdigest()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
