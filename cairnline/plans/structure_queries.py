@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.scalar import gc_content, is_palindromic, mash_distance, revcomp, stable_hash, valid_dna
@@ -10,6 +12,7 @@ from ..operators.catalog import ENZYMES
 from ..operators.digest import digest_native
 from ..operators.sketch import sketch, splitmix64_native
 from ..session import exists, fingerprint, materialise, shared_dir
+from ..sources import files
 from . import adapters as A
 from .registry import query
 
@@ -472,3 +475,13 @@ def scaffold_orientation_all(spark, sf):
     m = materialise(A.landmarks(spark, sf), "marks")
     size = A.contigs(spark, sf).select("genome", "contig_id", "length")
     return placement.scaffold(m, m, size, 2, key="genome").select("genome", "contig_id", "reverse", "shared", "median_ref")
+
+
+@query(f"WITH {_contigs()} SELECT contig_id::VARCHAR AS contig_name, length(seq) AS length, round(CASE WHEN length(seq) > 0 THEN length(regexp_replace(seq, '[^GC]', '', 'g')) / length(seq) ELSE 0 END, 6) AS gc, md5(seq) AS digest FROM contigs")
+def fasta_written_and_read(spark, sf):
+    """All contigs written as sequence files in the shared folder and read back by ranges of bytes."""
+    place = f"{shared_dir(spark)}/fasta-{uuid.uuid4().hex}"
+    wrapped = F.regexp_replace("seq", "(.{60})", "$1\n")
+    A.contigs(spark, sf).select(F.concat(F.lit(">"), F.col("contig_id").cast("string"), F.lit(" source="), "genome", F.lit("\n"), wrapped).alias("value")).write.text(place)
+    back = files.read_fasta(spark, place, "all")
+    return back.select("contig_name", F.col("length").cast("long").alias("length"), R(F.coalesce(gc_content(F.col("seq")), F.lit(0.0))).alias("gc"), F.md5("seq").alias("digest"))

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalar import base_filter, circular_header, clean_field, location_bounds, strand
 from ..operators.series import contig_offsets
+from ..session import materialise
 
 # The feature table's header.
 FEATURE_COLUMNS = "gene_id genome_id contig_id start end strand product ko pfam cog eggnog smash_tool cluster_id".split()
@@ -24,19 +25,39 @@ def _fail(bad: DataFrame, what: str) -> None:
         raise BadFile(f"{what}: {row[0].asDict()}")
 
 
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """``file, n, value``: records of files whose records begin with ``>`` at a line's start, numbered from 0 in
+    file order, without that sign; text before the first one has n -1.
+
+    Records are the text source's lines with another separator, so a large file is read in many tasks, each
+    finding the first record that begins in its range of bytes; a gzip file is one task. Numbers follow from
+    the records of each range, never from one task over the file."""
+    rows = spark.read.text(path, lineSep="\n>").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value"
+    )
+    rows = materialise(rows, "records")
+    ranges = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("many"), F.min_by(F.col("value").startswith(">"), "at").alias("opens"))
+    ahead = Window.partitionBy("file").orderBy("block")
+    before = F.coalesce(F.sum("many").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    opens = F.first("opens").over(ahead.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ranges = ranges.select("file", "block", (before - F.col("first") - F.when(opens, 0).otherwise(1)).alias("shift"), opens.alias("opens"))
+    n = F.col("at") + F.col("shift")
+    value = F.when((n == 0) & F.col("opens"), F.expr("substring(value, 2)")).otherwise(F.col("value"))
+    return rows.join(ranges, ["file", "block"]).select("file", n.alias("n"), value.alias("value"))
+
+
 def read_fasta(spark: SparkSession, path: str, genome: str | None = None, check: bool = True) -> DataFrame:
     """Sequences ``genome, contig_id, contig_name, description, length, circular, seq, offset`` of FASTA
     files (gzip by extension). A file is one series, named by ``genome`` or its file name; contig ids
     count from 1 in file order. Letters other than ACGTN are dropped, which shifts later coordinates."""
-    files = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file"))
+    records = read_records(spark, path)
     if check:
-        _fail(files.filter(~F.ltrim("value").startswith(">") & (F.length(F.trim("value")) > 0)).select("file"), "text before the first header")
+        _fail(records.filter((F.col("n") < 0) & (F.length(F.trim(F.regexp_replace("value", r"[\r\n]", ""))) > 0)).select("file"), "text before the first header")
     name = F.lit(genome) if genome else F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.(fa|fasta|fna)(\.gz)?$", "")
-    records = files.select(name.alias("genome"), F.posexplode(F.split(F.concat(F.lit("\n"), "value"), "\n>")).alias("n", "record")).filter("n > 0")
-    head = F.rtrim(F.regexp_extract("record", r"^([^\r\n]*)", 1))
-    body = F.regexp_replace("record", r"^[^\r\n]*", "")
-    rows = records.select(
-        "genome", F.col("n").cast("long").alias("contig_id"), F.split_part(head, F.lit(" "), F.lit(1)).alias("contig_name"),
+    head = F.rtrim(F.regexp_extract("value", r"^([^\r\n]*)", 1))
+    body = F.regexp_replace("value", r"^[^\r\n]*", "")
+    rows = records.filter("n >= 0").select(
+        name.alias("genome"), (F.col("n") + 1).alias("contig_id"), F.split_part(head, F.lit(" "), F.lit(1)).alias("contig_name"),
         F.nullif(F.regexp_extract(head, r"^[^ ]* (.*)$", 1), F.lit("")).alias("description"), circular_header(head).alias("circular"), base_filter(body).alias("seq"),
     )
     return contig_offsets(rows.withColumn("length", F.length("seq").cast("long")))
@@ -45,8 +66,7 @@ def read_fasta(spark: SparkSession, path: str, genome: str | None = None, check:
 def read_tgt(spark: SparkSession, path: str, check: bool = True) -> tuple[DataFrame, DataFrame]:
     """Landmark text files: series ``genome, length, contigs`` and landmarks. Places are explicit; stored
     gaps must agree with them. A missing strand means ``+``."""
-    text = spark.read.text(path, wholetext=True)
-    blocks = text.select(F.explode(F.split(F.concat(F.lit("\n"), "value"), "\n>")).alias("block")).filter(F.length(F.trim("block")) > 0)
+    blocks = read_records(spark, path).select(F.col("value").alias("block")).filter(F.length(F.trim("block")) > 0)
     head = F.regexp_extract("block", r"^([^\r\n]*)", 1)
     names = F.regexp_extract("block", r"(?m)^#contigs=([^\r\n]*)", 1)
     line = F.regexp_extract("block", r"(?m)^([A-Za-z0-9]+:[A-Za-z]+@[^\r\n]*)", 1)
