@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -77,11 +79,23 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
 
 
+def release() -> None:
+    """Give back to the system what this Python worker no longer uses: workers serve task after task, of
+    this stage and of later ones, and allocators keep what the largest of them took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The same rows in small batches: a batch's words as Python objects take many times its bytes."""
+    """The same rows in small batches: a batch's words as Python objects take many times its bytes. What they
+    took is given back at the end."""
     for batch in batches:
         for n in range(0, max(1, batch.num_rows), rows):
             yield batch.slice(n, rows)
+    release()
 
 
 def held_out() -> Column:
