@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import materialise, ship
+from . import ranges
 
 
 def truth_rank(hits: DataFrame, keys: list[str], rank: str, match: Column) -> DataFrame:
@@ -195,24 +198,75 @@ def sweep(values: DataFrame, value: str, cuts: range, flags: dict[str, Column])
     return grid.groupBy("least").agg(F.count(F.lit(1)).alias("anchored"), *(F.count_if(n).alias(n) for n in flags))
 
 
-def greedy_matches(found: DataFrame, truth: DataFrame, key: str, tolerance: int) -> DataFrame:
-    """One-to-one matches of found to true places within the tolerance, nearest first, by group."""
+def nearest_first(places: list[int], found: list[int], truth: list[int], tolerance: int) -> tuple[int, int]:
+    """Matches and their summed errors on one stretch, nearest first, of two as near the one with the smaller
+    found place. ``places`` grow; ``found`` and ``truth`` count the copies at each. The nearest pair left is always
+    one of neighbours, so a heap of neighbours suffices."""
+    f, t = list(found), list(truth)
+    matched = error = 0
+    for n in range(len(places)):
+        same = min(f[n], t[n])
+        f[n], t[n], matched = f[n] - same, t[n] - same, matched + same
+    left = [n for n in range(len(places)) if f[n] or t[n]]
+    ahead = dict(zip(left, left[1:], strict=False))
+    behind = {b: a for a, b in ahead.items()}
+    heap: list[tuple[int, int, int]] = []
+
+    def meet(a: int | None, b: int | None) -> None:
+        if a is None or b is None or places[b] - places[a] > tolerance:
+            return
+        if f[a] and t[b]:
+            heapq.heappush(heap, (places[b] - places[a], a, b))
+        elif t[a] and f[b]:
+            heapq.heappush(heap, (places[b] - places[a], b, a))
+
+    for a, b in ahead.items():
+        meet(a, b)
+    while heap:
+        d, x, y = heapq.heappop(heap)
+        many = min(f[x], t[y])
+        if not many:
+            continue
+        f[x], t[y], matched, error = f[x] - many, t[y] - many, matched + many, error + d * many
+        for n in (x, y):
+            if not f[n] and not t[n]:
+                a, b = behind.pop(n, None), ahead.pop(n, None)
+                if a is not None:
+                    ahead.pop(a, None)
+                if b is not None:
+                    behind.pop(b, None)
+                if a is not None and b is not None:
+                    ahead[a], behind[b] = b, a
+                    meet(a, b)
+    return matched, error
+
+
+def greedy_matches(found: DataFrame, truth: DataFrame, key: str, tolerance: int, parts: int | None = None) -> DataFrame:
+    """One-to-one matches of found to true places within the tolerance, nearest first, by key: ``matched,
+    false_pos, missed, error`` (summed). Rows without a place match nothing.
+
+    No match crosses two neighbouring places further apart than the tolerance, so each key is cut there, in
+    ranges, and the stretches are matched on their own, many in a batch. Equal places are one row with its counts;
+    a stretch is as long as its places lie near each other."""
     ship(found.sparkSession)
-
-    def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        name = a[key].iloc[0] if len(a) else b[key].iloc[0]
-        x, y = sorted(a["pos"].tolist()), sorted(b["pos"].tolist())
-        near = sorted((abs(p - q), n, m) for n, p in enumerate(x) for m, q in enumerate(y) if abs(p - q) <= tolerance)
-        used_x, used_y, errors = set(), set(), []
-        for d, n, m in near:
-            if n not in used_x and m not in used_y:
-                used_x.add(n)
-                used_y.add(m)
-                errors.append(d)
-        return pd.DataFrame({key: [name], "matched": [len(errors)], "false_pos": [len(x) - len(errors)], "missed": [len(y) - len(errors)], "error": [float(sum(errors))]})
-
-    kind = found.schema[key].dataType.simpleString()
-    return found.groupBy(key).cogroup(truth.groupBy(key)).applyInPandas(match, f"{key} {kind}, matched long, false_pos long, missed long, error double")
+    both = found.select(key, "pos", F.lit(1).alias("f"), F.lit(0).alias("t")).unionByName(truth.select(key, "pos", F.lit(0).alias("f"), F.lit(1).alias("t")))
+    places = materialise(both.groupBy(key, "pos").agg(F.sum("f").alias("f"), F.sum("t").alias("t")), "places")
+    rows = ranges.before(ranges.ranged(places.filter("pos IS NOT NULL"), [key], ["pos"], parts), [key], ["pos"], {"_last": F.col("pos")})
+    # the stretch is named by how many cuts lie before it
+    cut = F.when(F.col("pos") - F.col("_last") <= tolerance, 0).otherwise(1)
+    rows = ranges.so_far(rows.withColumn("_cut", cut), [key], ["pos"], F.col("_cut"), "_stretch")
+    stretch = rows.groupBy(key, "_stretch").agg(F.array_sort(F.collect_list(F.struct("pos", "f", "t"))).alias("s"), F.sum("f").alias("_f"), F.sum("t").alias("_t")).filter("_f > 0 AND _t > 0")
+
+    @F.pandas_udf("matched long, error long")
+    def match(pos: pd.Series, f: pd.Series, t: pd.Series) -> pd.DataFrame:
+        got = [nearest_first(p.tolist(), a.tolist(), b.tolist(), tolerance) for p, a, b in zip(pos, f, t, strict=True)]
+        return pd.DataFrame(got, columns=["matched", "error"], dtype="int64")
+
+    met = stretch.select(key, match("s.pos", "s.f", "s.t").alias("m"), F.lit(0).cast("long").alias("f"), F.lit(0).cast("long").alias("t")).select(key, "f", "t", "m.matched", "m.error")
+    zero = F.lit(0).cast("long")
+    all_ = places.select(key, "f", "t", zero.alias("matched"), zero.alias("error")).unionByName(met)
+    total = all_.groupBy(key).agg(*(F.sum(c).alias(c) for c in ("f", "t", "matched", "error")))
+    return total.select(key, "matched", (F.col("f") - F.col("matched")).alias("false_pos"), (F.col("t") - F.col("matched")).alias("missed"), F.col("error").cast("double").alias("error"))
 
 
 def alignment_totals(rows: DataFrame) -> DataFrame:

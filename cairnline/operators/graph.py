@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import hamming
 from ..session import materialise
 from .components import connected_components
-from .series import file_order
+from .series import after_another
 from .structure import last_occurrences
 
 
@@ -20,7 +20,8 @@ def nodes(landmarks: DataFrame) -> DataFrame:
 def edges(landmarks: DataFrame) -> DataFrame:
     """Directed neighbours in file order: ``src, tgt, weight`` (series), ``distances`` by series
     (signed, from the places of ``nodes``)."""
-    steps = landmarks.select("genome", F.col("seq").alias("src"), F.lead("seq").over(file_order()).alias("tgt")).filter(F.col("tgt").isNotNull()).distinct()
+    near = after_another(landmarks.select("genome", "contig_id", "ord", "seq"), ["seq"]).filter(F.col("before_seq").isNotNull())
+    steps = near.select("genome", F.col("before_seq").alias("src"), F.col("seq").alias("tgt")).distinct()
     at = nodes(landmarks)
     for end in ("src", "tgt"):
         steps = steps.join(at.select("genome", F.col("seq").alias(end), F.col("gpos").alias(f"{end}_pos")), ["genome", end])

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import canonical, is_palindromic, is_reverse
+from ..session import materialise
+from . import ranges
 
 RUN_GAP = 40  # landmarks of one run start less than so many bases apart
 
@@ -46,16 +48,32 @@ def file_order() -> Window:
     return Window.partitionBy("genome").orderBy("contig_id", "ord")
 
 
-def gaps(landmarks: DataFrame) -> DataFrame:
+def after_another(landmarks: DataFrame, columns: list[str], parts: int | None = None) -> DataFrame:
+    """Landmarks with ``before_<column>``, of the landmark before in file order; nulls for a series' first.
+
+    A window runs inside a contig. A contig's first landmark follows the last one of the nearest contig
+    before that has any; only those, a row a contig, are put in the order of the whole series, in ranges."""
+    marks = materialise(landmarks, "marks")
+    held = F.struct(*columns)
+    ends = materialise(marks.groupBy("genome", "contig_id").agg(F.max_by(held, "ord").alias("_end")), "ends")
+    ends = ranges.before(ranges.ranged(ends, ["genome"], ["contig_id"], parts), ["genome"], ["contig_id"], {"_was": F.col("_end")})
+    side = ends.filter("_was IS NOT NULL").select(F.col("genome").alias("_g"), F.col("contig_id").alias("_c"), "_was")
+    near = marks.withColumn("_near", F.lag(held).over(Window.partitionBy("genome", "contig_id").orderBy("ord")))
+    met = near.join(side, F.col("genome").eqNullSafe(F.col("_g")) & (F.col("contig_id") == F.col("_c")), "left")
+    one = F.coalesce("_near", "_was")
+    return met.withColumns({f"before_{c}": one[c] for c in columns}).drop("_g", "_c", "_near", "_was")
+
+
+def gaps(landmarks: DataFrame, parts: int | None = None) -> DataFrame:
     """``gap`` to the landmark before in file order; 0 where the position does not grow, null for the
     first."""
-    step = F.col("gpos") - F.lag("gpos").over(file_order())
-    return landmarks.withColumn("gap", F.when(step.isNotNull(), F.greatest(step, F.lit(0))))
+    step = F.col("gpos") - F.col("before_gpos")
+    return after_another(landmarks, ["gpos"], parts).withColumn("gap", F.when(step.isNotNull(), F.greatest(step, F.lit(0)))).drop("before_gpos")
 
 
 def gap_stats(landmarks: DataFrame) -> DataFrame:
     """Landmarks, enzymes and mean, median and largest gap of each series."""
-    return gaps(landmarks).groupBy("genome").agg(
+    return gaps(landmarks.select("genome", "contig_id", "ord", "gpos", "enzyme")).groupBy("genome").agg(
         F.count(F.lit(1)).alias("tags"), F.countDistinct("enzyme").alias("enzymes"),
         F.coalesce(F.avg("gap"), F.lit(0.0)).alias("mean_gap"), F.coalesce(F.percentile("gap", F.lit(0.5)), F.lit(0.0)).alias("median_gap"),
         F.coalesce(F.max("gap"), F.lit(0)).alias("max_gap"),
@@ -72,16 +90,19 @@ def coverage(landmarks: DataFrame, lengths: DataFrame, tag_length: int = 32) ->
 
 def raw_pairs(landmarks: DataFrame) -> DataFrame:
     """Distinct unordered pairs ``genome, k1, k2`` of neighbours in file order."""
-    pairs = landmarks.select("genome", "seq", F.lead("seq").over(file_order()).alias("nxt")).filter(F.col("nxt").isNotNull())
-    return pairs.select("genome", F.least("seq", "nxt").alias("k1"), F.greatest("seq", "nxt").alias("k2")).distinct()
+    pairs = after_another(landmarks.select("genome", "contig_id", "ord", "seq"), ["seq"]).filter(F.col("before_seq").isNotNull())
+    return pairs.select("genome", F.least("seq", "before_seq").alias("k1"), F.greatest("seq", "before_seq").alias("k2")).distinct()
 
 
 def n50(contigs: DataFrame) -> DataFrame:
-    """Length such that contigs of at least it hold half of the series, and contig and base counts."""
-    w = Window.partitionBy("genome").orderBy(F.desc("length"))
-    sums = contigs.select("genome", "length", F.sum("length").over(w).alias("so_far"), F.sum("length").over(Window.partitionBy("genome")).alias("total"))
+    """Length such that contigs of at least it hold half of the series, and contig and base counts.
+    Equal lengths are counted before they are put in order."""
+    kinds = contigs.groupBy("genome", "length").agg(F.count(F.lit(1)).alias("many"))
+    bases = F.col("length") * F.col("many")
+    w = Window.partitionBy("genome").orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, 0)
+    sums = kinds.select("genome", "length", "many", bases.alias("bases"), F.sum(bases).over(w).alias("so_far"), F.sum(bases).over(Window.partitionBy("genome")).alias("total"))
     return sums.groupBy("genome").agg(
-        F.max(F.when(F.col("so_far") * 2 >= F.col("total"), F.col("length"))).alias("n50"), F.count(F.lit(1)).alias("contigs"), F.max("total").alias("length")
+        F.max(F.when(F.col("so_far") * 2 >= F.col("total"), F.col("length"))).alias("n50"), F.sum("many").alias("contigs"), F.max("total").alias("length")
     )
 
 

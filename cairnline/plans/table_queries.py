@@ -368,7 +368,13 @@ def placement_scores(spark, sf):
     )
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_type = 'click' AS found, floor(epoch(ts))::BIGINT AS s, row_number() OVER (PARTITION BY user_id, event_type = 'click' ORDER BY ts) AS n FROM events),
+n AS (SELECT user_id, count(*) FILTER (found) AS f, count(*) FILTER (NOT found) AS t FROM e GROUP BY 1),
+near AS (SELECT a.user_id, a.n AS x, b.n AS y, abs(a.s - b.s) AS d, row_number() OVER (PARTITION BY a.user_id ORDER BY abs(a.s - b.s), a.n, b.n) AS i FROM e a JOIN e b ON a.user_id = b.user_id AND a.found AND NOT b.found AND abs(a.s - b.s) <= 3600),
+m AS (SELECT user_id, 0::BIGINT AS i, []::BIGINT[] AS xs, []::BIGINT[] AS ys, 0::BIGINT AS err FROM n
+UNION ALL SELECT m.user_id, near.i, CASE WHEN ok THEN list_append(xs, x) ELSE xs END, CASE WHEN ok THEN list_append(ys, y) ELSE ys END, err + CASE WHEN ok THEN d ELSE 0 END FROM m JOIN near ON near.user_id = m.user_id AND near.i = m.i + 1, LATERAL (SELECT NOT list_contains(xs, x) AND NOT list_contains(ys, y) AS ok)),
+done AS (SELECT user_id, max(len(xs)) AS matched, max_by(err, i) AS err FROM m GROUP BY 1)
+SELECT user_id, matched::BIGINT AS matched, f - matched AS false_pos, t - matched AS missed, err::DOUBLE AS error FROM n JOIN done USING (user_id)""")
 def greedy_matches(spark, sf):
     e = _spans(spark, sf)
     a, b = e.filter("event_type = 'click'"), e.filter("event_type <> 'click'")
