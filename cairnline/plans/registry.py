@@ -31,4 +31,4 @@ def query(oracle: str | None = None):
     return add
 
 
-from . import structure_queries, table_queries  # noqa: E402, F401  (they register themselves)
+from . import report_queries, structure_queries, table_queries  # noqa: E402, F401  (they register themselves)

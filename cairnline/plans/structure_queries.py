@@ -12,7 +12,7 @@ from ..operators.catalog import ENZYMES
 from ..operators.digest import digest_native
 from ..operators.sketch import sketch, splitmix64_native
 from ..session import exists, fingerprint, materialise, shared_dir
-from ..sources import files
+from ..sources import files, streams
 from . import adapters as A
 from .registry import query
 
@@ -485,3 +485,17 @@ def fasta_written_and_read(spark, sf):
     A.contigs(spark, sf).select(F.concat(F.lit(">"), F.col("contig_id").cast("string"), F.lit(" source="), "genome", F.lit("\n"), wrapped).alias("value")).write.text(place)
     back = files.read_fasta(spark, place, "all")
     return back.select("contig_name", F.col("length").cast("long").alias("length"), R(F.coalesce(gc_content(F.col("seq")), F.lit(0.0))).alias("gc"), F.md5("seq").alias("digest"))
+
+
+@query(f"""WITH {marks()} SELECT genome || ':' || contig_id // 1000 AS genome, contig_id % 1000 + 1 AS contig_id, row_number() OVER (PARTITION BY genome, contig_id // 1000 ORDER BY contig_id, pos) - 1 AS ord, pos AS gpos, seq, strand, 'd' || contig_id AS contig_name FROM marks""")
+def landmarks_written_and_read(spark, sf):
+    """All landmarks written as binary files, a series for a thousand contigs of a source, and read back."""
+    m = materialise(A.landmarks(spark, sf), "marks")
+    name = F.concat("genome", F.lit(":"), F.expr("cast(contig_id div 1000 as string)"))
+    rows = m.select(name.alias("genome"), (F.col("contig_id") % 1000 + 1).alias("contig_id"), (F.col("contig_id") * (1 << 32) + F.col("pos")).alias("ord"), F.col("pos").alias("gpos"), "seq", "enzyme", "strand")
+    # names of all thousand contigs, also of those without landmarks
+    number = F.expr("cast(split_part(genome, ':', -1) as bigint) * 1000")
+    named = F.transform(F.sequence(F.lit(0), F.lit(999)), lambda k: F.struct(F.concat(F.lit("d"), (number + k).cast("string")).alias("name"), F.lit(0).cast("long").alias("length"), F.lit(False).alias("circular")))
+    place = f"{shared_dir(spark)}/landmarks-{uuid.uuid4().hex}"
+    streams.write_binary(rows, rows.select("genome").distinct().select("genome", F.lit(0).cast("long").alias("length"), named.alias("contigs")), place)
+    return streams.read_binary(spark, place)[1].drop("enzyme")

@@ -161,7 +161,7 @@ def write_binary(landmarks: DataFrame, series: DataFrame, path: str) -> DataFram
     appears under its name when it is whole, so a task tried again does no harm."""
     spark = landmarks.sparkSession
     ship(spark)
-    target = path if "://" in path else f"file://{path}"
+    target = path if re.match("[A-Za-z][A-Za-z0-9+.-]+:", path) else f"file://{path}"
     sizes = landmarks.groupBy("genome").agg(F.count(F.lit(1)).alias("many"), F.countDistinct("enzyme").alias("sources"))
     heads = series.select("genome", "length", "contigs").join(sizes, "genome", "left").select(
         "genome", F.lit(-1).cast("long").alias("ord"), F.col("length").alias("gpos"), F.lit(None).cast("string").alias("seq"), F.lit(None).cast("string").alias("enzyme"), F.lit(None).cast("string").alias("strand"),
