@@ -4,7 +4,8 @@ Explicit rules (host and path prefix) decide first, and what they decide is the
 For the rest, each host's paths form a tree of templates: segments with a variable shape, or too many
 different values among their siblings, become wildcards; from the leaves to the host's root, a branch
 without evidence, or whose share of blocked evidence does not differ significantly from the pooled
-share of its parent, is merged into the parent; and a template is rejected when the share of the branch
+share of its parent, is merged into the parent, and the branches left beside each other are merged where their
+shares are alike; and a template is rejected when the share of the branch
 that it ends in, smoothed towards a neutral prior, passes a threshold. Templates of a host without any
 evidence are allowed.
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -57,21 +58,60 @@ def shape(segment: Column) -> Column:
     return F.when(coded, F.lit("*")).otherwise(segment)
 
 
+def nodes(steps: Column) -> Column:
+    """The nodes on the way through ``steps``, the root first, each with its parent (``px, py``): 128-bit digests,
+    so that long paths cost no text."""
+    zero, last = F.lit(0).cast("long"), lambda at: F.element_at(at, -1)
+    root = F.array(F.struct(zero.alias("x"), zero.alias("y"), zero.alias("px"), zero.alias("py")))
+    below = lambda up, s: F.struct(F.xxhash64(up["x"], s).alias("x"), F.xxhash64(s, up["y"]).alias("y"), up["x"].alias("px"), up["y"].alias("py"))
+    return F.aggregate(steps, root, lambda at, s: F.concat(at, F.array(below(last(at), s))))
+
+
+def wildcards(tree: DataFrame, siblings: int) -> DataFrame:
+    """``host, template, final`` of templates ``host, template, steps, n``: ``final`` with wildcards for crowds.
+
+    A crowd is told from the node that it hangs on, and nodes change with the wildcards above them. So all
+    levels are counted at once with the wildcards found so far, until none changes: a round more than there are
+    crowds below one another, however long the paths are. Level by level gives the same."""
+    now = materialise(tree.select("host", "template", "steps", "n", F.col("steps").alias("taken"), F.lit(True).alias("moved")), "templates")
+    while not now.filter("moved").isEmpty():
+        at = F.transform(nodes(F.col("taken")), lambda v, i: F.struct(i.alias("level"), v["x"].alias("x"), v["y"].alias("y"), F.get("steps", i).alias("step")))
+        way = now.select("host", "template", "n", F.inline(at))
+        child = materialise(way.groupBy("host", "level", "x", "y", "step").agg(F.sum("n").alias("in_child")), "children")
+        node = child.groupBy("host", "level", "x", "y").agg(F.sum("in_child").alias("in_node"), F.count("step").alias("kinds")).filter(F.col("kinds") > siblings)
+        crowd = child.filter("step IS NOT NULL").join(node, ["host", "level", "x", "y"]).filter(F.col("in_child") * 5 < F.col("in_node")).select("host", "level", "x", "y", "step")
+        wild = way.join(crowd, ["host", "level", "x", "y", "step"]).groupBy("host", "template").agg(F.collect_set("level").alias("wild"))
+        taken = F.transform("steps", lambda s, i: F.when(F.array_contains(F.coalesce("wild", F.array().cast("array<int>")), i), F.lit("*")).otherwise(s))
+        grown = now.join(wild, ["host", "template"], "left").select("host", "template", "steps", "n", F.col("taken").alias("was"), taken.alias("taken"))
+        now = materialise(grown.select("host", "template", "steps", "n", "taken", (F.col("was") != F.col("taken")).alias("moved")), "templates")
+    return now.select("host", "template", F.concat(F.lit("/"), F.array_join("taken", "/")).alias("final"))
+
+
 def merged(leaves: DataFrame, critical: float) -> DataFrame:
     """``host, final, b, k``: the blocked and all evidence of the branch that each leaf ends in.
 
     That is the nearest of the leaf and its ancestors that has evidence and whose share differs from
-    its parent's pooled share, or else the host's root."""
-    above = F.transform(F.sequence(F.lit(1), F.size(F.split("final", "/"))), lambda n: F.struct(n.alias("at"), F.array_join(F.slice(F.split("final", "/"), 1, n), "/").alias("branch")))
-    chain = leaves.select("host", "final", "known", "bad", F.inline(above))
-    pool = chain.filter("known > 0").groupBy("host", "branch").agg(F.sum("known").alias("k"), F.sum("bad").alias("b"))
-    pool = materialise(pool, "branches")
-    parent = pool.select("host", F.col("branch").alias("parent"), (F.col("b") / F.col("k")).alias("pooled"))
+    its parent's pooled share, or else the host's root. Such branches of one parent, in the order of their
+    shares and evidence, are merged with their neighbours in it as long as the two shares don't differ either. A parent has few:
+    more than ``siblings`` would be a wildcard, but for those of a fifth of its pages."""
+    steps = F.split(F.expr("substring(final, 2)"), "/")
+    above = F.transform(nodes(steps), lambda v, i: F.struct(i.alias("at"), v["x"].alias("x"), v["y"].alias("y"), v["px"].alias("px"), v["py"].alias("py")))
+    chain = materialise(leaves.select("host", "final", "known", "bad", F.inline(above)), "branches")
+    spot = ["host", "at", "x", "y"]
+    pool = materialise(chain.filter("known > 0").groupBy(*spot, "px", "py").agg(F.sum("known").alias("k"), F.sum("bad").alias("b")), "branches")
+    parent = pool.select("host", (F.col("at") + 1).alias("at"), F.col("x").alias("px"), F.col("y").alias("py"), (F.col("b") / F.col("k")).alias("pooled"))
     spread = F.sqrt(F.col("pooled") * (1 - F.col("pooled")) / F.col("k"))
-    apart = F.col("pooled").isNull() | (F.abs(F.col("b") / F.col("k") - F.col("pooled")) > critical * spread)
-    up = F.when(F.col("branch") != "", F.regexp_replace("branch", "/[^/]*$", ""))
-    kept = pool.withColumn("parent", up).join(parent, ["host", "parent"], "left").filter(apart).select("host", "branch", "b", "k")
-    ends = chain.join(kept, ["host", "branch"]).groupBy("host", "final").agg(F.max_by(F.struct("b", "k"), "at").alias("end"))
+    apart = (F.col("at") == 0) | (F.abs(F.col("b") / F.col("k") - F.col("pooled")) > critical * spread)
+    kept = pool.join(parent, ["host", "at", "px", "py"], "left").filter(apart)
+    beside = Window.partitionBy("host", "at", "px", "py").orderBy(F.col("b") / F.col("k"), "k", "x", "y")
+    b, k = F.lag("b").over(beside), F.lag("k").over(beside)
+    both = (b + F.col("b")) / (k + F.col("k"))
+    alike = F.abs(F.col("b") / F.col("k") - b / k) <= critical * F.sqrt(both * (1 - both) * (1 / k + 1 / F.col("k")))
+    group = F.sum("_new").over(beside.rowsBetween(Window.unboundedPreceding, 0))
+    kept = kept.withColumn("_new", F.when(alike, 0).otherwise(1)).withColumn("_group", group)
+    whole = Window.partitionBy("host", "at", "px", "py", "_group")
+    kept = kept.select(*spot, F.sum("b").over(whole).alias("b"), F.sum("k").over(whole).alias("k"))
+    ends = chain.join(kept, spot).groupBy("host", "final").agg(F.max_by(F.struct("b", "k"), "at").alias("end"))
     return leaves.select("host", "final").join(ends, ["host", "final"], "left").select(
         "host", "final", F.coalesce("end.b", F.lit(0)).alias("b"), F.coalesce("end.k", F.lit(0)).alias("k")
     )
@@ -102,30 +142,13 @@ def judge(
     bad = (F.col("said") == "block").cast("long")
     tree = rows.groupBy("host", "template").agg(
         F.count(F.lit(1)).alias("n"), F.sum(known).alias("known"), F.sum(F.coalesce(bad, F.lit(0))).alias("bad")
-    ).withColumn("steps", F.split("template", "/")).withColumn("final", F.lit(""))
+    ).withColumn("steps", F.split("template", "/"))
     tree = materialise(tree, "templates")
-    level = 0
-    while (depth is None or level < depth) and not tree.filter(F.size("steps") > level).isEmpty():
-        tree = tree.withColumn("step", F.try_element_at("steps", F.lit(level + 1)))
-        child = tree.groupBy("host", "final", "step").agg(F.sum("n").alias("in_child"), F.count(F.lit(1)).alias("templates"))
-        node = child.groupBy("host", "final").agg(F.sum("in_child").alias("in_node"), F.count("step").alias("kinds"), F.sum("templates").alias("templates"))
-        crowd = (F.col("kinds") > siblings) & (F.col("in_child") * 5 < F.col("in_node"))
-        grown = child.filter(F.col("step").isNotNull()).drop("templates").join(node, ["host", "final"]).select(
-            "host", "final", "step", F.when(crowd, "*").otherwise(F.col("step")).alias("taken"), (F.col("templates") == 1).alias("lone")
-        )
-        # a lone template has no siblings further down either, so the rest of its steps is taken at once
-        rest = F.array_join(F.slice("steps", level + 1, F.size("steps")), "/")
-        taken = F.concat_ws("/", "final", F.when(F.col("lone") & F.lit(depth is None), rest).otherwise(F.col("taken")))
-        tree = tree.join(grown, ["host", "final", "step"], "left").select(
-            "host", "template", F.when(F.col("lone") & F.lit(depth is None), F.array().cast("array<string>")).otherwise(F.col("steps")).alias("steps"),
-            F.when(F.col("taken").isNull(), F.col("final")).otherwise(taken).alias("final"), "n", "known", "bad",
-        )
-        tree = materialise(tree, "templates")
-        level += 1
-
-    nodes = merged(tree.groupBy("host", "final").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad")), critical)
-    nodes = nodes.withColumn("purity", (F.col("b") + strength * neutral) / (F.col("k") + strength))
-    verdicts = tree.join(nodes.select("host", "final", "purity"), ["host", "final"]).select(
+    tree = materialise(tree.drop("steps").join(wildcards(tree, siblings), ["host", "template"]), "templates")
+
+    leaves = merged(tree.groupBy("host", "final").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad")), critical)
+    leaves = leaves.withColumn("purity", (F.col("b") + strength * neutral) / (F.col("k") + strength))
+    verdicts = tree.join(leaves.select("host", "final", "purity"), ["host", "final"]).select(
         "host", "template", F.col("final").alias("tree_template"), "purity"
     )
     out = rows.join(verdicts, ["host", "template"], "left")
