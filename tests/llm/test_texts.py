@@ -98,6 +98,24 @@ def test_links_of_a_large_group(make, chunk):
     assert len(set(named.values())) == len(set(right.values())) == len(set(zip(named.values(), (right[i] for i in named), strict=True)))
 
 
+def test_families_chained_by_chance(make, monkeypatch):
+    """Texts that share phrases with their neighbours, and don't link, leave a large family; near copies stay."""
+    monkeypatch.setattr(ngram_join, "MOST_RANKED", 0)  # order by hash alone, as for shingles beyond the ranked ones
+    tables, write = {}, ngram_join.materialise
+    monkeypatch.setattr(ngram_join, "materialise", lambda df, name: tables.setdefault(name, []).append(write(df, name)) or tables[name][-1])
+    monkeypatch.setattr(ngram_join, "discard", lambda df: None)
+    phrase = [[f"p{n}w{m}" for m in range(24)] for n in range(41)]
+    texts = [" ".join(phrase[n] + [f"t{n}w{m}" for m in range(20)] + phrase[n + 1]) for n in range(40)]
+    texts += [texts[n] + " end" for n in (0, 7, 20)] + [texts[3] + " one two", texts[3] + " three"]
+    ids = list(range(len(texts)))
+    rows, classes_, members = ngram_join.linked_classes(make(list(zip(ids, texts, strict=True))), chunk=4)
+    named = {r["doc_id"]: r["component"] or r["set_key"] for r in rows.join(members, "set_key", "left").collect()}
+    right = classes(ids, texts)
+    assert len(set(named.values())) == len(set(right.values())) == len(set(zip(named.values(), (right[i] for i in named), strict=True)))
+    assert tables["families"][0].count() > 20 and tables["able"][0].count() == 9
+    assert tables["sizes"][0].agg({"chunks": "max"}).first()[0] > 4 and tables["sizes"][1].agg({"chunks": "max"}).first()[0] <= 3
+
+
 def test_components(spark):
     chain = [(n, n + 1) for n in range(60)] + [(100, 101), (7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long").repartition(4)).collect()}
