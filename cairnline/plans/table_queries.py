@@ -26,14 +26,22 @@ XWEIGHT = WEIGHT.replace("token", "x.token")
 CAND = "cand AS (SELECT x.cluster AS q, y.cluster AS t FROM (SELECT DISTINCT cluster, pk FROM it) x JOIN (SELECT DISTINCT cluster, pk FROM it) y USING (pk) WHERE x.cluster < y.cluster GROUP BY 1, 2 HAVING count(*) >= 2)"
 
 
+def _named(items):
+    return C.with_tokens(items).withColumn("cluster", F.concat_ws(":", "genome_id", "cluster_id"))
+
+
 def _items(spark, sf):
-    return materialise(C.with_tokens(A.items(spark, sf)).withColumn("cluster", F.concat_ws(":", "genome_id", "cluster_id")), "items")
+    return materialise(_named(A.items(spark, sf)), "items")
 
 
-def _candidates(items):
+def _candidates(spark, sf):
+    """Pairs of orders that share at least two parts, and the items of those orders alone."""
+    keys = A.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").na.drop()
+    near = materialise(C.sharing_two(keys, "l_orderkey", "l_partkey"), "near")
+    items = materialise(_named(A.items(spark, sf, near.select(F.explode(F.array("q", "t")).alias("l_orderkey")).distinct())), "items")
     p = items.select("cluster", "ko").distinct()
     both = p.withColumnRenamed("cluster", "q").join(p.withColumnRenamed("cluster", "t"), "ko").filter("q < t")
-    return materialise(both.groupBy("q", "t").count().filter("count >= 2").select("q", "t"), "pairs")
+    return items, materialise(both.groupBy("q", "t").count().filter("count >= 2").select("q", "t"), "pairs")
 
 
 @query(f"WITH {ITEMS} SELECT cluster, gene_id, array_to_string(tokens, '|') AS tokens, tokens[1] AS rep FROM tok")
@@ -93,8 +101,8 @@ SCORE = "least(greatest(weighted * 0.45::DOUBLE + adjacency * 0.30::DOUBLE + ord
 @query(f"""WITH {ITEMS}, {COUNTS}, {ADJ}, {CAND}, {OVERLAP}, {PAIRADJ} SELECT q, t, round(shared / (qk + tk - shared), 6) AS functional, round(low / (high + qw + tw - low - high), 6) AS weighted,
 round(1 - (apart + qn - sx + tn - sy) / (2 * greatest(qn + tn, 1)), 6) AS copies, round(adjacency, 6) AS adjacency FROM al JOIN aj USING (q, t)""")
 def cluster_pair_jaccard(spark, sf):
-    i = _items(spark, sf)
-    p, t, a = _candidates(i), C.token_counts(i), C.adjacencies(i)
+    i, p = _candidates(spark, sf)
+    t, a = C.token_counts(i), C.adjacencies(i)
     s = C.token_scores(C.token_overlap(p, t, t), False).join(C.pair_scores(p, a, a), ["q", "t"])
     return s.select("q", "t", *(R(c).alias(c) for c in ("functional", "weighted", "copies", "adjacency")))
 
@@ -102,9 +110,9 @@ def cluster_pair_jaccard(spark, sf):
 @query(f"""WITH {ITEMS}, {COUNTS}, {CAND}, {OVERLAP} SELECT q, t, round(2 * shared / (qk + tk), 6) AS functional, round(2 * low / (2 * high + qw + tw - low - high), 6) AS weighted,
 round(greatest(1 - (2 * apart + qn - sx + tn - sy) / (2 * greatest(qn, tn, 1)), 0), 6) AS copies, qk - shared AS missing, tk - shared AS extra FROM al""")
 def cluster_pair_dice(spark, sf):
-    i = _items(spark, sf)
+    i, p = _candidates(spark, sf)
     t = C.token_counts(i)
-    s = C.token_scores(C.token_overlap(_candidates(i), t, t), True)
+    s = C.token_scores(C.token_overlap(p, t, t), True)
     return s.select("q", "t", *(R(c).alias(c) for c in ("functional", "weighted", "copies")), (F.col("q_kinds") - F.col("shared")).alias("missing"), (F.col("t_kinds") - F.col("shared")).alias("extra"))
 
 
@@ -116,9 +124,8 @@ def _split(items):
 @query(f"""WITH {ITEMS}, {COUNTS}, {ADJ}, qs AS (SELECT DISTINCT cluster FROM it WHERE ok % 50 = 0), s AS (SELECT x.cluster AS q, y.cluster AS t FROM tc x JOIN tc y USING (token) WHERE x.cluster IN (FROM qs) AND {XWEIGHT} >= 3
 UNION SELECT x.cluster, y.cluster FROM ad x JOIN ad y USING (a, b) WHERE x.cluster IN (FROM qs)) SELECT q, count(*) AS targets FROM s GROUP BY 1""")
 def cluster_seeds(spark, sf):
-    mine, all_ = _split(_items(spark, sf))
-    s = C.seeds(C.token_counts(mine), C.token_counts(all_), C.adjacencies(mine), C.adjacencies(all_), 3.0)
-    return s.groupBy("q").agg(F.count(F.lit(1)).alias("targets"))
+    mine, all_ = _split(materialise(C.seed_keys(_named(A.items(spark, sf)), 3.0), "seed-keys"))
+    return C.seed_counts(mine, all_)
 
 
 #: Pairs by seeds of weight 2 or a shared adjacency; those under the functional threshold end here.
@@ -143,8 +150,8 @@ def cluster_search(spark, sf):
 sc AS (SELECT q, t, shared / (qk + tk - shared) AS functional, (low / (qw + tw - low))::DOUBLE AS weighted, adjacency::DOUBLE AS adjacency, order_score, greatest(1 - (apart + qn - sx + tn - sy) / (2 * greatest(qn + tn, 1)), 0)::DOUBLE AS copies, inverted FROM al JOIN aj USING (q, t) JOIN ord USING (q, t))
 SELECT q, t, round(functional, 6) AS functional, round(weighted, 6) AS weighted, round(adjacency, 6) AS adjacency, round(order_score, 6) AS order_score, round(copies, 6) AS copies, round({SCORE}, 6) AS score, inverted FROM sc""")
 def cluster_score_pair(spark, sf):
-    i = _items(spark, sf)
-    out = C.score_pairs(_candidates(i), i, i)
+    i, p = _candidates(spark, sf)
+    out = C.score_pairs(p, i, i)
     return out.select("q", "t", *(R(c).alias(c) for c in ("functional", "weighted", "adjacency", "order_score", "copies", "score")), "inverted")
 
 

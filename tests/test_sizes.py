@@ -3,7 +3,9 @@
 import random
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from cairnline.operators import clusters as C
 from cairnline.operators.catalog import ENZYMES
 from cairnline.operators.digest import by_size, digest, digest_native
 
@@ -30,3 +32,26 @@ def test_native_search_is_one_pass(spark):
         want = sorted(map(tuple, digest(c, [ENZYMES[name]]).select(*key).collect()))
         assert sorted(map(tuple, digest_native(c, ENZYMES[name]).select(*key).collect())) == want
         assert len(want) > 10 or name == "CspCI" and want or name == "BcgI"
+
+
+def test_pairs_that_share_two_keys(spark):
+    """Long sets, which meet on single keys, and short ones, which meet on pairs of keys, give the same pairs."""
+    r = random.Random(3)
+    sets = {o: {r.randrange(40) for _ in range(r.randrange(1, 12))} for o in range(60)}
+    df = spark.createDataFrame([(o, k) for o, ks in sets.items() for k in [*ks, *ks]], "o long, k long")
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 2}
+    for most in (40, 6, 1):
+        got = [tuple(x) for x in C.sharing_two(df, "o", "k", most).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_seeded_targets_are_counted_over_blocks(spark):
+    items = C.with_tokens(C.synthetic_features(spark, 120, 4).withColumn("ko", F.concat(F.lit("K"), F.pmod(F.xxhash64("gene_id"), F.lit(30)).cast("string"))))
+    items = items.withColumn("cluster", F.col("cluster_id"))
+    mine = items.filter(F.pmod(F.xxhash64("cluster"), F.lit(5)) == 0)
+    t = C.token_counts(items)
+    want = {r[0]: r[1] for r in C.seeds(C.token_counts(mine), t, C.adjacencies(mine), C.adjacencies(items), 3.0).groupBy("q").count().collect()}
+    keys = C.seed_keys(items, 3.0)
+    for rows in ((1000, 1000), (20, 90)):
+        got = C.seed_counts(C.seed_keys(mine, 3.0), keys, *rows).collect()
+        assert len(got) == len(want) and {r[0]: r[1] for r in got} == want
