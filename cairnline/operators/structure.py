@@ -329,29 +329,34 @@ def variants(df: DataFrame, column: str = "seq") -> DataFrame:
 
 
 def approximate_common(landmarks: DataFrame, distance: int = 1) -> DataFrame:
-    """``ga, gb, common``: letter sequences of A with one of B within the Hamming distance. Up to one
-    by exploding variants; beyond, candidates meet in one of distance + 1 equal pieces."""
-    kinds = landmarks.select("genome", "seq").distinct()
-    b = kinds.select(F.col("genome").alias("gb"), F.col("seq").alias("other"))
+    """``ga, gb, common``: letter sequences of A with one of B within the Hamming distance. One apart by
+    exploding variants; beyond, pairs of different letters are found once (``graph.near_pairs``), whatever
+    series they are in."""
+    from .graph import near_pairs
+
+    kinds = materialise(landmarks.select("genome", "seq").distinct(), "kinds")
+    seqs = kinds.select("seq").distinct()
     if distance == 0:
-        near = kinds.join(b, kinds["seq"] == b["other"])
+        near = seqs.select("seq", F.col("seq").alias("other"))
     elif distance == 1:
-        near = variants(kinds).join(b, F.col("variant") == F.col("other"))
+        near = variants(seqs).withColumnRenamed("variant", "other")
     else:
-        piece = lambda s, n: F.struct(F.lit(n).alias("n"), F.length(s).alias("l"), F.expr(f"substring({s}, cast(length({s}) * {n} / {distance + 1} as int) + 1, cast(length({s}) * {n + 1} / {distance + 1} as int) - cast(length({s}) * {n} / {distance + 1} as int))").alias("p"))
-        cut = lambda df, s: df.withColumn("piece", F.explode(F.array(*(piece(s, n) for n in range(distance + 1)))))
-        near = cut(kinds, "seq").join(cut(b, "other"), "piece").filter(hamming(F.col("seq"), F.col("other")) <= distance)
-    return near.filter("genome < gb").select(F.col("genome").alias("ga"), "gb", "seq").distinct().groupBy(*PAIR).agg(F.count(F.lit(1)).alias("common"))
+        one = materialise(near_pairs(seqs, distance), "near")
+        near = one.toDF("seq", "other").union(one.select("b", "a")).union(seqs.select("seq", "seq"))
+    # variants take hundreds of times the bytes they are compressed to, by which a broadcast would be chosen
+    reach = near.hint("merge").join(kinds.select(F.col("genome").alias("gb"), F.col("seq").alias("other")), "other").select("seq", "gb").distinct()
+    return kinds.join(reach, "seq").filter("genome < gb").groupBy(F.col("genome").alias("ga"), "gb").agg(F.count(F.lit(1)).alias("common"))
 
 
 def windowed_approximate(landmarks: DataFrame, window: int) -> DataFrame:
     """Mean over windows of 2 * matched A / (|A| + |B|), where a match is within one base."""
     sets = landmarks.select("genome", F.expr(f"gpos div {window}").alias("w"), "seq").distinct()
-    size = materialise(sets.groupBy("genome", "w").agg(F.count(F.lit(1)).alias("n")), "windows")
-    b = sets.select(F.col("genome").alias("gb"), "w", F.col("seq").alias("variant"))
-    hit = variants(sets).join(b, ["w", "variant"]).filter("genome < gb").select(F.col("genome").alias("ga"), "gb", "w", "seq").distinct().groupBy(*PAIR, "w").agg(F.count(F.lit(1)).alias("hit"))
-    for g, n in (("ga", "na"), ("gb", "nb")):
-        hit = hit.join(size.select(F.col("genome").alias(g), "w", F.col("n").alias(n)), [g, "w"])
+    sets = materialise(sets.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("genome", "w"))), "sets")
+    size = sets.select("genome", "w").distinct()
+    b = sets.select(F.col("genome").alias("gb"), "w", F.col("seq").alias("variant"), F.col("n").alias("nb"))
+    # variants take hundreds of times the bytes they are compressed to, by which a broadcast would be chosen
+    met = variants(sets).hint("merge").join(b, ["w", "variant"]).filter("genome < gb")
+    hit = met.select(F.col("genome").alias("ga"), "gb", "w", "seq", F.col("n").alias("na"), "nb").distinct().groupBy(*PAIR, "w", "na", "nb").agg(F.count(F.lit(1)).alias("hit"))
     total = hit.groupBy(*PAIR).agg(F.sum(2 * F.col("hit") / (F.col("na") + F.col("nb"))).alias("sum"))
     counts = size.groupBy("genome").agg(F.count(F.lit(1)).alias("windows"))
     met = size.select(F.col("genome").alias("ga"), "w").join(size.select(F.col("genome").alias("gb"), "w"), "w").filter("ga < gb").groupBy(*PAIR).agg(F.count(F.lit(1)).alias("met"))
