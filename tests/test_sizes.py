@@ -6,7 +6,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cairnline.operators import clusters as C
+from cairnline.operators import graph
 from cairnline.operators.catalog import ENZYMES
+from cairnline.operators.components import connected_components
 from cairnline.operators.digest import by_size, digest, digest_native
 
 
@@ -55,3 +57,23 @@ def test_seeded_targets_are_counted_over_blocks(spark):
     for rows in ((1000, 1000), (20, 90)):
         got = C.seed_counts(C.seed_keys(mine, 3.0), keys, *rows).collect()
         assert len(got) == len(want) and {r[0]: r[1] for r in got} == want
+
+
+def test_links_connect_what_pairs_connect(spark):
+    r = random.Random(7)
+    seqs = {"".join(r.choices("ACG", k=k)) for k in (3, 4, 5, 6, 27) for _ in range(60)}
+    df = spark.createDataFrame([(s,) for s in seqs], "seq string")
+    links = {tuple(x) for x in graph.near_links(df).collect()}
+    pairs = {tuple(x) for x in graph.near_pairs(df, 1).collect()}
+    named = lambda e: {tuple(x) for x in connected_components(spark.createDataFrame(sorted(e), "a string, b string")).collect()}
+    assert links <= pairs and len(links) < len(pairs) and named(links) == named(pairs)
+
+
+def test_near_letters_meet_on_long_keys(spark):
+    """Letters that all agree in one quarter: on single quarters every pair would meet, and nothing else tells how many rows met."""
+    r = random.Random(8)
+    seqs = sorted({"".join(r.choices("ACGT", k=10)) + "CGA" + "".join(r.choices("ACGT", k=6)) + "TGC" + "".join(r.choices("ACGT", k=10)) for _ in range(300)})
+    seqs += [s[:4] + s[5:8] + "AA" + s[9:] for s in seqs[:40]] + ["T" + s[1:31] + "T" for s in seqs[:40]]
+    apart = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True))
+    got = {tuple(x) for x in graph.near_pairs(spark.createDataFrame([(s,) for s in set(seqs)], "seq string"), 3).collect()}
+    assert got == {(a, b) for a in set(seqs) for b in set(seqs) if a < b and len(a) == len(b) and apart(a, b) <= 3}
