@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release, slices
 
 _double_space = regex.compile(r"\s\s|^\s|\s$")
 # Characters on whose classes (letter, number, space) all tokenizers agree.
@@ -43,18 +44,23 @@ class WordEncoder:
     Others go to the tokenizer whole; texts with special strings or characters out of the ordinary
     go to the reference library, whose ids these are."""
 
-    def __init__(self, json_path: str, ranks_path: str, pattern: str, special: tuple[str, ...], cache: int = 300_000):
+    def __init__(self, json_path: str, ranks_path: str, pattern: str, special: tuple[str, ...], cache: int = 100_000):
         import tiktoken
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(json_path)
 
+        self.json_path = json_path
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.special, self.most = special, cache
         self.known: dict[str, bytes] = {}
 
+    @cached_property
+    def library(self):
+        """The reference library, loaded where a text asks for it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.json_path)
+
     def _ids(self, text: str) -> bytes:
         return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
 
@@ -97,9 +103,10 @@ def pieces(docs: DataFrame, tokenizer: tuple, capacity: int, end_id: int) -> Dat
     """Tokenize and cut: ``doc_id, piece, start, length, ids_crc32`` of each piece."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # what earlier stages' tasks left in this worker
         enc = encoder(*tokenizer)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             at, piece, start, length, crc = [], [], [], [], []
             for n, text in enumerate(batch.column("text").to_pylist()):
                 ids = enc.encode(text) + end

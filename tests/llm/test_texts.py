@@ -302,3 +302,14 @@ def test_pipeline(spark, labelled, odd, tmp_path):
         stage = spark.read.parquet(f"{tmp_path}/{name}")
     assert stage.filter("doc_id = 9001").count() == 0 and stage.count() > 300
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == stage.count()
+
+
+def test_packing_loads_the_library_only_when_a_text_needs_it():
+    from cairnline.llm.packing import WordEncoder
+    from cairnline.llm.queries import byte_tokenizer
+
+    enc = WordEncoder(*byte_tokenizer())
+    plain = enc.encode("plain words only")
+    assert "library" not in enc.__dict__
+    enc.encode("กข odd letters")
+    assert "library" in enc.__dict__ and plain == np.array(enc.library.encode("plain words only", add_special_tokens=False).ids, "<u4").tobytes()
