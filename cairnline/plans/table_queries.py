@@ -391,7 +391,7 @@ def greedy_matches(spark, sf):
 @query(f"""WITH {ITEMS}, {CAND}, rp AS (SELECT cluster, list(tokens[1] ORDER BY rn) AS reps FROM tok WHERE tokens[1] IS NOT NULL GROUP BY 1), p AS (SELECT q, t, x.reps AS a, y.reps AS b FROM cand JOIN rp x ON x.cluster = q JOIN rp y ON y.cluster = t)
 SELECT q, t, {_lcs('a', 'b')} AS lcs FROM p""")
 def lcs_lengths(spark, sf):
-    i = _items(spark, sf)
+    i, p = _candidates(spark, sf)
     reps = materialise(C.cluster_table(i).select("cluster", "reps"), "reps")
     side = lambda c: reps.select(F.col("cluster").alias(c), F.col("reps").alias(f"{c}_reps"))
-    return V.lcs_lengths(_candidates(i).join(side("q"), "q").join(side("t"), "t"), "q_reps", "t_reps").select("q", "t", "lcs")
+    return V.lcs_lengths(p.join(side("q"), "q").join(side("t"), "t"), "q_reps", "t_reps").select("q", "t", "lcs")

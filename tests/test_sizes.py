@@ -77,3 +77,17 @@ def test_near_letters_meet_on_long_keys(spark):
     apart = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True))
     got = {tuple(x) for x in graph.near_pairs(spark.createDataFrame([(s,) for s in set(seqs)], "seq string"), 3).collect()}
     assert got == {(a, b) for a in set(seqs) for b in set(seqs) if a < b and len(a) == len(b) and apart(a, b) <= 3}
+
+
+def test_lcs_of_orders_that_share_two_parts(spark, tmp_path):
+    """The registered query called the step for its pairs without the tables and failed."""
+    from cairnline.plans.registry import QUERIES
+    from cairnline.plans import table_queries  # noqa: F401
+
+    orders = {1: [1, 2, 3, 4], 2: [4, 1, 2], 3: [1], 4: [5, 4, 3]}
+    lines = [(o, n, p, 1) for o, ps in orders.items() for n, p in enumerate(ps, 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    parts = [(p, "STANDARD", f"Brand#{p}", p, f"part {p}") for p in range(1, 6)]
+    spark.createDataFrame(parts, "p_partkey long, p_type string, p_brand string, p_size int, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted(map(tuple, QUERIES["lcs_lengths"](spark, str(tmp_path)).collect()))
+    assert got == [("s1:o1", "s2:o2", 2), ("s1:o1", "s4:o4", 1)]
