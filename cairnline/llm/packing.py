@@ -11,7 +11,7 @@ hashed buckets, so a length that most items share never meets in one task.
 Defined results: a null text is empty and has one token, the end mark; equal documents are packed
 separately; an empty table gives no rows; only documents longer than the capacity are cut, with the
 short piece first. Memory: the plan has at most a few entries for each pair of lengths, whatever the
-size of the table; a worker's word cache is bounded by ``cache`` words.
+size of the table; a worker holds the vocabulary and the ids of one text.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 
 from .common import materialise, release, slices
 
-_double_space = regex.compile(r"\s\s|^\s|\s$")
 # Characters on whose classes (letter, number, space) all tokenizers agree.
 _usual = regex.compile(
     r"[\n\t\r\x20-\x7e\xa1-\u024f\u0391-\u03a1\u03a3-\u03c9\u0400-\u044f\u2010-\u2027\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*"
@@ -37,22 +36,20 @@ _usual = regex.compile(
 
 
 class WordEncoder:
-    """Ids of a byte-level merge vocabulary, remembered word by word.
+    """Ids of a byte-level merge vocabulary, text by text: nothing is remembered between texts, which costs
+    more than it spares where many words are new.
 
-    Between two characters that are not white space, a single space always begins a new word of the
-    tokenizer, so texts with no other kind of spacing are encoded as words with their leading space.
-    Others go to the tokenizer whole; texts with special strings or characters out of the ordinary
-    go to the reference library, whose ids these are."""
+    Texts with special strings or characters out of the ordinary go to the reference library, whose ids
+    these are."""
 
-    def __init__(self, json_path: str, ranks_path: str, pattern: str, special: tuple[str, ...], cache: int = 100_000):
+    def __init__(self, json_path: str, ranks_path: str, pattern: str, special: tuple[str, ...]):
         import tiktoken
 
         self.json_path = json_path
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.special, self.most = special, cache
-        self.known: dict[str, bytes] = {}
+        self.special = special
 
     @cached_property
     def library(self):
@@ -61,32 +58,12 @@ class WordEncoder:
 
         return Tokenizer.from_file(self.json_path)
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
-
-    def _plain(self, text: str) -> bytes:
-        if _double_space.search(text):
-            return self._ids(text)
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        words = text.split(" ")
-        out = [self._ids(words[0])]
-        try:
-            out += [known[w] for w in words[1:]]
-        except KeyError:
-            for w in words[1:]:
-                if w not in known:
-                    known[w] = self._ids(" " + w)
-            out[1:] = [known[w] for w in words[1:]]
-        return b"".join(out)
-
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
         if _usual.fullmatch(text) and not any(s in text for s in self.special):
-            return self._plain(text)
+            return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 

@@ -313,3 +313,21 @@ def test_packing_loads_the_library_only_when_a_text_needs_it():
     assert "library" not in enc.__dict__
     enc.encode("กข odd letters")
     assert "library" in enc.__dict__ and plain == np.array(enc.library.encode("plain words only", add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_packing_encodes_a_text_of_new_words_at_once():
+    """Every word not yet remembered was a call of its own."""
+    from cairnline.llm.packing import WordEncoder
+    from cairnline.llm.queries import byte_tokenizer
+
+    enc, calls = WordEncoder(*byte_tokenizer()), []
+
+    class Counted:
+        def encode_ordinary(self, text, inner=enc.encoding):
+            calls.append(text)
+            return inner.encode_ordinary(text)
+
+    enc.encoding = Counted()
+    text = " ".join(f"w{n:x}q{n * 7919 % 1013}," for n in range(3000)) + " two  spaces\nand a line "
+    assert enc.encode(text) == np.array(enc.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(calls) == 1
