@@ -91,3 +91,31 @@ def test_lcs_of_orders_that_share_two_parts(spark, tmp_path):
     spark.createDataFrame(parts, "p_partkey long, p_type string, p_brand string, p_size int, p_name string").write.parquet(f"{tmp_path}/part.parquet")
     got = sorted(map(tuple, QUERIES["lcs_lengths"](spark, str(tmp_path)).collect()))
     assert got == [("s1:o1", "s2:o2", 2), ("s1:o1", "s4:o4", 1)]
+
+
+def marks(spark, n=900, kinds=40, seed=5):
+    """One series holds most landmarks; contigs of very different sizes."""
+    r = random.Random(seed)
+    rows = [("big" if r.random() < 0.8 else r.choice("xyz"), r.choice([1, 2, 2, 2, 3, 7]), k, k * 10, "s%02d" % r.randrange(kinds), "e", "+") for k in range(n)]
+    return spark.createDataFrame([(*x, x[3]) for x in rows], "genome string, contig_id long, ord long, pos long, seq string, enzyme string, strand string, gpos long")
+
+
+def test_weights_are_those_of_edges(spark):
+    m = marks(spark)
+    want = {tuple(x) for x in graph.edges(m).select("src", "tgt", "weight").collect()}
+    assert {tuple(x) for x in graph.weights(m).collect()} == want
+    assert {tuple(x) for x in graph.weights(m, 2).collect()} == {x for x in want if x[2] >= 2} != set()
+
+
+def test_paths_are_ranked_on_numbers(spark, monkeypatch):
+    """Rounds carried seven letter sequences a row."""
+    written, inner = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name: (written.append((name, {f.dataType.simpleString() for f in df.schema})), inner(df, name))[1])
+    e = [("b", "a"), ("b", "c"), ("c", "d"), ("d", "e"), ("d", "f"), ("q", "p"), ("p", "r"), ("r", "q")]
+    steps = graph.path_steps(spark.createDataFrame(e, "src string, tgt string"))
+    got = {}
+    for p, k, s, n in steps.collect():
+        got.setdefault((p, n), {})[k] = s
+    assert {(p, n, "".join(v[k] for k in range(n))) for (p, n), v in got.items()} == {("a>b", 4, "abcd"), ("d>e", 2, "de"), ("d>f", 2, "df"), ("p>q", 3, "pqr")}
+    rounds = [kinds for name, kinds in written if name == "arcs"]
+    assert len(rounds) > 2 and all(k <= {"bigint"} for k in rounds)
