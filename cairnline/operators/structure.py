@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import hamming
 from ..session import materialise, ship
-from .series import collapse_runs, file_order, oriented, raw_pairs, share_windows
+from . import ranges
+from .series import collapse_runs, oriented, raw_pairs, share_windows
 
 PAIR = ["ga", "gb"]
 
@@ -173,9 +174,11 @@ def legacy_breakpoints(landmarks: DataFrame) -> DataFrame:
     return many.join(n, PAIR, "left").select(*PAIR, "common", F.when(F.col("common") >= 2, F.coalesce("odd", F.lit(0))).otherwise(0).alias("breakpoints"))
 
 
-def _ranks(landmarks: DataFrame) -> DataFrame:
+def _ranks(landmarks: DataFrame, parts: int | None = None) -> DataFrame:
     """For each pair: ranks in A (last occurrence) in B's file order, which keeps duplicates."""
-    rank = landmarks.select("genome", "seq", F.row_number().over(file_order()).alias("at"))
+    # ranks run over a whole series, and one may hold most rows: counted in ranges
+    rows = ranges.ranged(materialise(landmarks.select("genome", "seq", "contig_id", "ord"), "marks"), ["genome"], ["contig_id", "ord"], parts)
+    rank = materialise(ranges.so_far(rows, ["genome"], ["contig_id", "ord"], F.lit(1), "at").select("genome", "seq", "at"), "ranked")
     last = rank.groupBy("genome", "seq").agg(F.max("at").alias("ra"))
     return last.withColumnRenamed("genome", "ga").join(rank.select(F.col("genome").alias("gb"), "seq", F.col("at").alias("rb")), "seq").filter("ga < gb").select(*PAIR, "ra", "rb")
 

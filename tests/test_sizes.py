@@ -119,3 +119,18 @@ def test_paths_are_ranked_on_numbers(spark, monkeypatch):
     assert {(p, n, "".join(v[k] for k in range(n))) for (p, n), v in got.items()} == {("a>b", 4, "abcd"), ("d>e", 2, "de"), ("d>f", 2, "df"), ("p>q", 3, "pqr")}
     rounds = [kinds for name, kinds in written if name == "arcs"]
     assert len(rounds) > 2 and all(k <= {"bigint"} for k in rounds)
+
+
+def test_ranks_of_a_series_are_counted_in_ranges(spark, monkeypatch):
+    """One window sorted a whole series in one task."""
+    from cairnline.operators import ranges, structure
+
+    cut, inner = [], ranges.ranged
+    monkeypatch.setattr(ranges, "ranged", lambda *a: (cut.append(a[1:3]), inner(*a))[1])
+    m = marks(spark)
+    at, places = {}, {}
+    for g, c, o, s in sorted(map(tuple, m.select("genome", "contig_id", "ord", "seq").collect())):
+        at[g] = at.get(g, 0) + 1
+        places.setdefault((g, s), []).append(at[g])
+    want = sorted((a, b, max(x), y) for (a, s), x in places.items() for (b, t), ys in places.items() if s == t and a < b for y in ys)
+    assert sorted(map(tuple, structure._ranks(m, 7).collect())) == want and cut == [(["genome"], ["contig_id", "ord"])]
