@@ -2,14 +2,16 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from cairnline.operators import clusters as C
-from cairnline.operators import graph
+from cairnline.operators import graph, placement
 from cairnline.operators.catalog import ENZYMES
 from cairnline.operators.components import connected_components
-from cairnline.operators.digest import by_size, digest, digest_native
+from cairnline.operators.digest import LANDMARKS, by_size, digest, digest_native
 
 
 def letters(n, seed=1):
@@ -134,3 +136,29 @@ def test_ranks_of_a_series_are_counted_in_ranges(spark, monkeypatch):
         places.setdefault((g, s), []).append(at[g])
     want = sorted((a, b, max(x), y) for (a, s), x in places.items() for (b, t), ys in places.items() if s == t and a < b for y in ys)
     assert sorted(map(tuple, structure._ranks(m, 7).collect())) == want and cut == [(["genome"], ["contig_id", "ord"])]
+
+
+@pytest.mark.parametrize("key", ["genome", None])
+def test_medians_without_matches_as_rows(spark, monkeypatch, key):
+    """Contigs stand where the sorted list of all their matches has its upper middle, and the
+    tables between the steps are far smaller than the matches."""
+    rng = np.random.default_rng(7)
+    kinds = ["AAAC", "AACC", "ACCC", "GGTA", "GTTT", "GGGT"]
+    rows = [(f"g{n % 3}", n // 20, n, int(p), "AAAC" if n % 2 else kinds[int(rng.integers(6))], "BcgI", "+", int(p)) for n, p in enumerate(rng.integers(0, 5000, 1200))]
+    rows = [r for r in rows if key or r[0] == "g0"]
+    m = spark.createDataFrame(rows, LANDMARKS + ", gpos long")
+    turn = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    want = {}
+    for g, c in {(r[0], r[1]) for r in rows}:
+        mine = [r[4] for r in rows if (r[0], r[1]) == (g, c)]
+        ahead, back = (sorted(r[7] for s in mine for r in rows if r[4] == way(s) and (not key or r[0] != g)) for way in (str, turn))
+        flip = len(back) > 2 * len(ahead)
+        here = back if flip else ahead
+        if len(here) >= 2:
+            want[g, c] = (flip, len(here), here[len(here) // 2])
+    between, cut = [], placement.materialise
+    monkeypatch.setattr(placement, "materialise", lambda df, name: (lambda d: between.append(d.count()) or d)(cut(df, name)))
+    size = m.select("genome", "contig_id").distinct().withColumn("length", F.lit(10).cast("long"))
+    got = placement.scaffold(m, m, size if key else size.drop("genome"), 2, key=key).collect()
+    assert {((r["genome"] if key else "g0"), r["contig_id"]): (r["reverse"], r["shared"], r["median_ref"]) for r in got} == want
+    assert between and 10 * sum(between) < sum(w[1] for w in want.values())
