@@ -32,6 +32,8 @@ HEAD = "<4sIQIHH24x"
 ENTRY = np.dtype([("seq", "S32"), ("gpos", "<u8"), ("enzyme", "u1"), ("strand", "u1"), ("contig_id", "<u2"), ("unused", "V4")])
 SOURCES = [*ENZYMES, SKETCH]
 BATCH = 65_536
+#: Bytes of files that one task reads.
+TASK_BYTES = 64 << 20
 
 CONTIGS = "array<struct<name:string,length:long,circular:boolean>>"
 ENTRY_ROWS = f"genome string, total long, contigs {CONTIGS}, ord long, gpos long, seq string, enzyme string, strand string, contig_id long"
@@ -44,11 +46,13 @@ def open_file(uri: str) -> BinaryIO:
 
 
 def each_file(spark: SparkSession, path: str, rows: Callable[[str, BinaryIO], Iterator[dict[str, list]]], schema: str, glob: str | None = None) -> DataFrame:
-    """``rows(file, stream)`` of every file under ``path``, each read whole by one task."""
+    """``rows(file, stream)`` of every file under ``path``, each read whole by one task, which reads many small ones."""
     ship(spark)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    names = (found.option("pathGlobFilter", glob) if glob else found).load(path).select("path")
-    spread = names.repartition(max(1, names.count()), "path")
+    names = (found.option("pathGlobFilter", glob) if glob else found).load(path).select("path", "length")
+    many, size = names.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    tasks = max(1, min(many, max(4 * spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))))
+    spread = names.select("path").repartition(tasks, "path")
     arrow = pa.schema([(f.name, to_arrow(f.dataType.simpleString())) for f in _schema(spark, schema)])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,7 @@ from cairnline.operators import graph, placement
 from cairnline.operators.catalog import ENZYMES
 from cairnline.operators.components import connected_components
 from cairnline.operators.digest import LANDMARKS, by_size, digest, digest_native
+from cairnline.sources import streams
 
 
 def letters(n, seed=1):
@@ -41,7 +42,7 @@ def test_native_search_is_one_pass(spark):
 def test_pairs_that_share_two_keys(spark):
     """Long sets, which meet on single keys, and short ones, which meet on pairs of keys, give the same pairs."""
     r = random.Random(3)
-    sets = {o: {r.randrange(40) for _ in range(r.randrange(1, 12))} for o in range(60)}
+    sets = {o: {r.randrange(40) for _ in range(r.randrange(1, 12))} for o in range(1, 61)}
     df = spark.createDataFrame([(o, k) for o, ks in sets.items() for k in [*ks, *ks]], "o long, k long")
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 2}
     for most in (40, 6, 1):
@@ -63,7 +64,7 @@ def test_seeded_targets_are_counted_over_blocks(spark):
 
 def test_links_connect_what_pairs_connect(spark):
     r = random.Random(7)
-    seqs = {"".join(r.choices("ACG", k=k)) for k in (3, 4, 5, 6, 27) for _ in range(60)}
+    seqs = {"".join(r.choices("ACG", k=k)) for k in (3, 4, 5, 6, 27) for _ in range(1, 61)}
     df = spark.createDataFrame([(s,) for s in seqs], "seq string")
     links = {tuple(x) for x in graph.near_links(df).collect()}
     pairs = {tuple(x) for x in graph.near_pairs(df, 1).collect()}
@@ -178,3 +179,12 @@ def test_met_pairs_follow_tasks_and_not_blocks(spark, monkeypatch):
     parts = {(r["q"], r["t"]) for r in C.meet(mine, p, 0.2, 0.0, 2, 2.0, rows=100).collect()}
     assert parts == whole and len(whole) >= 10
     assert sizes["target-blocks"] >= 15 and sizes["met"] < 3 * alone
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """Many small files are read by a few tasks, each file once."""
+    for n in range(1, 61):
+        (tmp_path / f"f{n}").write_bytes(b"x" * n)
+    read = streams.each_file(spark, f"file://{tmp_path}", lambda name, stream: iter([{"file": [name.rsplit("/", 1)[-1]], "n": [len(stream.read())]}]), "file string, n long")
+    assert sorted((r["file"], r["n"]) for r in read.collect()) == sorted((f"f{n}", n) for n in range(1, 61))
+    assert read.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism < 60
