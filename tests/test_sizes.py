@@ -188,3 +188,17 @@ def test_small_files_share_tasks(spark, tmp_path):
     read = streams.each_file(spark, f"file://{tmp_path}", lambda name, stream: iter([{"file": [name.rsplit("/", 1)[-1]], "n": [len(stream.read())]}]), "file string, n long")
     assert sorted((r["file"], r["n"]) for r in read.collect()) == sorted((f"f{n}", n) for n in range(1, 61))
     assert read.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism < 60
+
+
+def test_parts_of_an_index_are_bounded(spark, tmp_path):
+    """One task sorts a part, so parts follow the landmarks' number before a task is large."""
+    assert placement.PART_ROWS <= 500_000
+    m = spark.range(2000).select(F.lit("g").alias("genome"), F.lit(1).cast("long").alias("contig_id"), "id", F.lit("HaeIV").alias("enzyme"), F.lit("+").alias("strand"), F.conv(F.col("id").cast("string"), 10, 4).alias("n"))
+    m = m.select("genome", "contig_id", F.col("id").alias("ord"), (F.col("id") * 40).alias("gpos"), F.translate("n", "0123", "ACGT").alias("seq"), "enzyme", "strand")
+    old, placement.PART_ROWS = placement.PART_ROWS, 100
+    try:
+        placement.keep_index(m, str(tmp_path))
+    finally:
+        placement.PART_ROWS = old
+    index = placement.open_index(spark, str(tmp_path))
+    assert index.parts == 20 and index.tags.count() == 2000
