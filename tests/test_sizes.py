@@ -202,3 +202,85 @@ def test_parts_of_an_index_are_bounded(spark, tmp_path):
         placement.PART_ROWS = old
     index = placement.open_index(spark, str(tmp_path))
     assert index.parts == 20 and index.tags.count() == 2000
+
+
+def plain_chain(r, ahead):
+    """Longest strictly rising or falling chain; the earliest predecessor and the earliest end win."""
+    score, before = [], []
+    for k, x in enumerate(r):
+        fits = [j for j in range(k) if (r[j] < x if ahead else r[j] > x)]
+        best = min(fits, key=lambda j: (-score[j], j), default=None)
+        score.append(1 + (score[best] if best is not None else 0))
+        before.append(best)
+    at, out = score.index(max(score)), []
+    while at is not None:
+        out.append(at)
+        at = before[at]
+    return out
+
+
+@pytest.mark.parametrize("ahead", [True, False])
+def test_many_chains_at_once(ahead):
+    """Chains of several queries and series are found in one pass, one step of all of them after another."""
+    rng = np.random.default_rng(5)
+    rows = sorted((int(s), i, int(v)) for i in range(7) for s, v in zip(rng.integers(0, 9, 30 * i + 1), rng.integers(0, 40, 30 * i + 1), strict=True))
+    step, inst, value = (np.array(c) for c in zip(*rows, strict=True))
+    got = placement.chains(inst, step, value, ahead)
+    for i in range(7):
+        mine = np.flatnonzero(inst == i)
+        assert got[inst[got] == i].tolist() == [mine[k] for k in plain_chain(value[mine].tolist(), ahead)]
+
+
+def copied(spark, contigs=40, kinds=12):
+    """Contigs of two series that share most landmarks: some in order, some turned, one landmark repeated."""
+    rows, rng = [], random.Random(3)
+    words = sorted(letters(8, 100 + n) for n in range(kinds))
+    for c in range(contigs):
+        order = rng.sample(words, kinds - 3)
+        order = sorted(order, reverse=c % 3 == 1) if c % 3 else order
+        order += order[:1] if c % 5 == 0 else []
+        rows += [(f"g{c % 2}", c, n, 50 * n, w, "X", "+", c * 10_000 + 50 * n) for n, w in enumerate(order)]
+    return spark.createDataFrame(rows, LANDMARKS + ", gpos long")
+
+
+def test_matches_of_frequent_landmarks_are_not_rows(spark, monkeypatch):
+    m = copied(spark)
+    queries, index = placement.query_landmarks(m), placement.as_index(placement.build_index(m))
+    pairs = placement.query_pairs(queries, index.kinds)
+    chosen = placement.candidates(queries, pairs, index.kinds, index.pair_kinds, 3, 0, False, True)
+    met = placement.anchors(queries, chosen, index.tags)
+    assert "Window" not in met._jdf.queryExecution().optimizedPlan().toString()  # it shuffled and sorted every match
+    matches, support = {}, {}
+    for r in met.collect():
+        matches.setdefault((r["q"], r["genome"]), []).append((r["qpos"], r["rpos"], r["canon"], r["contig_id"]))
+    known = [tuple(r) for r in index.pairs.select("a", "b", "genome", "x", "y").collect()]
+    for q, x, y in pairs.select("q", "x", "y").collect():
+        for a, b, genome, px, py in known:
+            if (a, b) == (min(x, y), max(x, y)):
+                support.setdefault((q, genome), []).append((a, b, (px, py) == (x, y)))
+    want = set()
+    for key, rows in matches.items():
+        rows.sort()
+        best = None
+        for ahead in (True, False):
+            c = [rows[k] for k in plain_chain([x[1] for x in rows], ahead)]
+            names = {x[2] for x in c}
+            s = [x for x in support.get(key, []) if x[0] in names and x[1] in names]
+            on = [x[3] for x in c]
+            contig = min(set(on), key=lambda v: (-on.count(v), v))
+            share = sum(x[2] == ahead for x in s) / len(s) if s else 0.0
+            this = (len(c), len({x[:2] for x in s}), round(share * 1_000_000), contig)
+            if len(c) > 1 and (best is None or this > best[0]):
+                best = this, (*key, ahead, contig, len(c), this[1], round(share, 9), c[-1][0], c[0][0], min(x[1] for x in c), max(x[1] for x in c))
+        if best:
+            want.add(best[1])
+
+    def rows_of_matches(*_):
+        raise AssertionError("matches became rows")
+
+    monkeypatch.setattr(placement, "anchors", rows_of_matches)
+    monkeypatch.setattr(placement, "MATCHES", 500)
+    lengths = queries.select("q", F.lit(1000).cast("long").alias("length")).distinct()
+    got = placement.score_candidates(queries, pairs, chosen, index.tags, index.pairs, lengths)
+    columns = [c.split()[0] for c in placement.SCORED.split(", ")]
+    assert {tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in got.select(*columns).collect()} == want and len(want) > 50
