@@ -121,11 +121,10 @@ def _split(items):
     return items.filter(mine), items
 
 
-@query(f"""WITH {ITEMS}, {COUNTS}, {ADJ}, qs AS (SELECT DISTINCT cluster FROM it WHERE ok % 50 = 0), s AS (SELECT x.cluster AS q, y.cluster AS t FROM tc x JOIN tc y USING (token) WHERE x.cluster IN (FROM qs) AND {XWEIGHT} >= 3
-UNION SELECT x.cluster, y.cluster FROM ad x JOIN ad y USING (a, b) WHERE x.cluster IN (FROM qs)) SELECT q, count(*) AS targets FROM s GROUP BY 1""")
+@query(f"""WITH {ITEMS}, {COUNTS}, {ADJ}, s AS (SELECT x.cluster AS q, y.cluster AS t FROM tc x JOIN tc y USING (token) WHERE {XWEIGHT} >= 3
+UNION SELECT x.cluster, y.cluster FROM ad x JOIN ad y USING (a, b)) SELECT q, count(*) AS targets FROM s GROUP BY 1""")
 def cluster_seeds(spark, sf):
-    mine, all_ = _split(materialise(C.seed_keys(_named(A.items(spark, sf)), 3.0), "seed-keys"))
-    return C.seed_counts(mine, all_)
+    return C.seed_totals(materialise(C.seed_keys(_named(A.items(spark, sf)), 3.0), "seed-keys"))
 
 
 #: Pairs by seeds of weight 2 or a shared adjacency; those under the functional threshold end here.

@@ -62,6 +62,26 @@ def test_seeded_targets_are_counted_over_blocks(spark):
         assert len(got) == len(want) and {r[0]: r[1] for r in got} == want
 
 
+def test_seeds_of_all_clusters(spark, monkeypatch):
+    """Every cluster is a query, also of the registered one; frequent and rare keys, short and long clusters."""
+    from cairnline.plans.table_queries import cluster_seeds
+
+    items = C.with_tokens(C.synthetic_features(spark, 120, 4).withColumn("ko", F.concat(F.lit("K"), F.pmod(F.xxhash64("gene_id"), F.lit(60)).cast("string"))))
+    keys = C.seed_keys(items.withColumn("cluster", F.col("cluster_id")), 3.0).localCheckpoint()
+    k = {}
+    for c, key in keys.collect():
+        k.setdefault(c, set()).add(key)
+    want = {c: sum(not k[c].isdisjoint(x) for x in k.values()) for c in k}
+    for frequent, many, most in ((200, 8, 40), (6, 8, 40), (6, 3, 40), (6, 8, 6), (1, 8, 40)):
+        monkeypatch.setattr(C, "FREQUENT_KEYS", many)
+        monkeypatch.setattr(C, "KEYS", most)
+        got = C.seed_totals(keys, frequent, 50).collect()
+        assert len(got) == len(want) and {r[0]: r[1] for r in got} == want
+    got = {r["q"] for r in cluster_seeds(spark, "/root/testdata/sf0.001").collect()}
+    orders = {r[0] for r in spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey").distinct().collect()}
+    assert len(got) > 0.9 * len(orders) and sum(int(q.split(":o")[1]) % 50 > 0 for q in got) > 0.9 * len(got)
+
+
 def test_links_connect_what_pairs_connect(spark):
     r = random.Random(7)
     seqs = {"".join(r.choices("ACG", k=k)) for k in (3, 4, 5, 6, 27) for _ in range(1, 61)}
