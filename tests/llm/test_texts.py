@@ -116,6 +116,24 @@ def test_families_chained_by_chance(make, monkeypatch):
     assert tables["sizes"][0].agg({"chunks": "max"}).first()[0] > 4 and tables["sizes"][1].agg({"chunks": "max"}).first()[0] <= 3
 
 
+def test_groups_chained_by_chance(make, monkeypatch):
+    """Groups of near copies that only share phrases come apart, although each of their texts links with some other."""
+    monkeypatch.setattr(ngram_join, "MOST_RANKED", 0)
+    tables, write = {}, ngram_join.materialise
+    monkeypatch.setattr(ngram_join, "materialise", lambda df, name: tables.setdefault(name, []).append(write(df, name)) or tables[name][-1])
+    monkeypatch.setattr(ngram_join, "discard", lambda df: None)
+    phrase = [[f"p{n}w{m}" for m in range(24)] for n in range(13)]
+    plain = [" ".join(phrase[n] + [f"t{n}w{m}" for m in range(60)] + phrase[n + 1]) for n in range(12)]
+    texts = [t + end for t in plain for end in ("", " end", " one two")]
+    ids = list(range(len(texts)))
+    rows, classes_, members = ngram_join.linked_classes(make(list(zip(ids, texts, strict=True))), chunk=4)
+    named = {r["doc_id"]: r["component"] or r["set_key"] for r in rows.join(members, "set_key", "left").collect()}
+    right = classes(ids, texts)
+    assert len(set(named.values())) == len(set(right.values())) == 12 == len(set(zip(named.values(), (right[i] for i in named), strict=True)))
+    assert tables["families"][0].count() == tables["able"][0].count() == 36
+    assert tables["sizes"][0].agg({"chunks": "max"}).first()[0] > 4 and tables["sizes"][-1].agg({"chunks": "max"}).first()[0] == 1
+
+
 def test_components(spark):
     chain = [(n, n + 1) for n in range(60)] + [(100, 101), (7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long").repartition(4)).collect()}
