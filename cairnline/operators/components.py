@@ -13,7 +13,13 @@ def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
     ``links``."""
     a, b = links.columns
     ends = F.least(a, b).alias("v"), F.greatest(a, b).alias("u")
-    e = materialise(links.filter(F.col(a) != F.col(b)).select(*ends).distinct().select("u", "v"), "stars")
+    e = links.filter(F.col(a) != F.col(b)).select(*ends).distinct().select("u", "v")
+    e = materialise(e, "links")
+    # a link whose ends have no other is done; most components are such pairs
+    one = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v")).filter("n = 1")
+    ended = one.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), F.lit(1).alias("k"))
+    marked = materialise(e.withColumn("k", F.lit(0)).unionByName(ended).groupBy("u", "v").agg(F.sum("k").alias("k")), "stars")
+    pairs, e = marked.filter("k = 2").select("u", "v"), marked.filter("k < 2").select("u", "v")
     before = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -29,4 +35,5 @@ def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    roots = roots.unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")))
+    return e.unionByName(pairs).select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -92,6 +92,33 @@ def test_links_connect_what_pairs_connect(spark):
     assert links <= pairs and len(links) < len(pairs) and named(links) == named(pairs)
 
 
+def test_tolerant_tags_go_by_numbers(spark, monkeypatch):
+    """Links and components move numbers; pairs of letters that have no other near them are done before the rounds."""
+    from cairnline.operators import components
+
+    written, write = {}, components.materialise
+    monkeypatch.setattr(components, "materialise", lambda df, name: written.setdefault(name, []).append(write(df, name)) or written[name][-1])
+    r = random.Random(4)
+    seqs = sorted({"".join(r.choices("ACG", k=k)) for k in (2, 3, 5, 6, 28) for _ in range(1, 41)})
+    rows = [(g, s) for s in seqs for g in r.sample("xyz", r.choice((1, 2, 3, 3)))]
+    marks = spark.createDataFrame(rows + rows[:50], "genome string, seq string")
+    for distance in (1, 2):
+        group = {s: s for s in seqs}
+        near = [(a, b) for a in seqs for b in seqs if len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) <= distance]
+        before = None
+        while before != group:
+            before = dict(group)
+            for a, b in near:
+                group[a] = min(group[a], group[b])
+        want = {(c, sum(v == c for v in group.values())) for c in set(group.values()) if len({g for g, s in rows if group[s] == c}) == 3}
+        got = [tuple(x) for x in graph.tolerant_tags(marks, distance).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert written["links"][0].dtypes == [("u", "bigint"), ("v", "bigint")]
+    written.clear()
+    two = connected_components(spark.createDataFrame([(n, n + 1) for n in range(0, 40, 2)], "a long, b long"))
+    assert sorted(map(tuple, two.collect())) == sorted((n, n - n % 2) for n in range(40)) and written["stars"][1].count() == 0
+
+
 def test_near_letters_meet_on_long_keys(spark):
     """Letters that all agree in one quarter: on single quarters every pair would meet, and nothing else tells how many rows met."""
     r = random.Random(8)
