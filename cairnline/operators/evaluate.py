@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise, ship
+from ..session import materialise, release, ship
 from . import ranges
 
 
@@ -86,6 +89,116 @@ def cosine_pairs(terms: DataFrame, doc: str, term: str, common: int | None = Non
     return dot.select("a", "b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("cosine"))
 
 
+#: Documents of a piece of a frequent term, pairs that a task holds before it packs them, and pairs of a block on average.
+PIECE, HELD_PAIRS, BLOCK_PAIRS = 4096, 2_000_000, 3_000_000
+
+
+def _packed(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> bytes:
+    """Pairs in order of ``a, b`` with their weights as compressed bytes, like bytes of all numbers side by side."""
+    step = np.diff(a, prepend=0)
+    sides = [np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for x in (step, b)]
+    return len(a).to_bytes(8, "little") + pa.Codec("zstd").compress(b"".join(sides) + w.tobytes(), asbytes=True)
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    many = int.from_bytes(raw[:8], "little")
+    body = pa.Codec("zstd").decompress(raw[8:], decompressed_size=18 * many, asbytes=True)
+    step, b = (np.ascontiguousarray(np.frombuffer(body, np.uint8, 8 * many, 8 * many * n).reshape(8, many).T).view("<i8").ravel() for n in (0, 1))
+    return np.cumsum(step), b, np.frombuffer(body, "<f2", many, 16 * many)
+
+
+def _term_pairs(blocks: int):
+    """Pairs of documents of each term, or of two pieces of one, dealt by the smaller document. Weights are rounded upward."""
+
+    def run(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        term = rows["term"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        doc, w, piece, i, j = (rows[c].to_numpy() for c in ("doc", "w", "piece", "i", "j"))
+        order = np.lexsort((doc, j, i, term))
+        term, doc, w, piece, i, j = (x[order] for x in (term, doc, w, piece, i, j))
+        new = np.append(True, (term[1:] != term[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+        begin = np.flatnonzero(new)
+        end = np.repeat(np.append(begin[1:], len(doc)), np.diff(np.append(begin, len(doc))))
+        two, held, many = i != j, [], 0
+
+        def flush() -> pa.RecordBatch:
+            x, y = (np.concatenate(c) for c in zip(*held, strict=True))
+            weight = w[x] * w[y]
+            half = weight.astype("<f2")
+            half = np.where(half < weight, np.nextafter(half, np.float16(np.inf)), half).astype("<f2")
+            block = (((doc[x].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(blocks)).astype(np.int64)
+            order = np.lexsort((doc[y], doc[x], block))
+            edge = np.searchsorted(block[order], np.arange(blocks + 1)).tolist()
+            parts = [(k, order[s:e]) for k, (s, e) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if e > s]
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([_packed(doc[x[o]], doc[y[o]], half[o]) for _, o in parts], pa.binary())], ["block", "pairs"])
+
+        live, step = np.arange(len(doc)), 1
+        live = live[end - live > 1]
+        while len(live):
+            for part in np.array_split(live, max(1, -(-len(live) // HELD_PAIRS))):
+                x, y = part, part + step
+                good = ~two[x] | (piece[x] != piece[y])
+                held.append((x[good], y[good]))
+                many += int(good.sum())
+                if many >= HELD_PAIRS:
+                    yield flush()
+                    held, many = [], 0
+            step += 1
+            live = live[end[live] - live > step]
+        if many:
+            yield flush()
+
+    def each(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(pa.Table.from_batches(list(batches)))
+        release()
+
+    return each
+
+
+def _reaching(least: float):
+    """Pairs of one block whose weights, rounded upward, reach the threshold."""
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, w = (np.concatenate(c) for c in zip(*(_unpacked(raw) for batch in batches for raw in batch.column("pairs").to_pylist()), strict=True))
+        order = np.lexsort((b, a))
+        a, b, w = a[order], b[order], w[order].astype(np.float64)
+        begin = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        kept = begin[np.add.reduceat(w, begin) * (1 + 1e-9) >= least]
+        yield pa.RecordBatch.from_arrays([pa.array(a[kept], pa.int64()), pa.array(b[kept], pa.int64())], ["a", "b"])
+        release()
+
+    return run
+
+
+def cosine_above(terms: DataFrame, doc: str, term: str, least: float, most_broadcast: int = 200_000) -> DataFrame:
+    """``a, b, cosine`` of idf vectors for all pairs of documents, named by whole numbers, that reach ``least``, which is above 0.
+
+    Pairs that share a term travel once, packed, a few bytes each, with weights rounded upward; those whose weights
+    reach the threshold are computed exactly. A frequent term is cut into pieces, and each two of them meet."""
+    ship(terms.sparkSession)
+    t = materialise(terms.select(F.col(doc).cast("long").alias("doc"), F.col(term).alias("term")).na.drop(subset=["doc"]).distinct(), "terms")
+    n = t.agg(F.countDistinct("doc")).first()[0]
+    df = t.filter("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf_ = F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1
+    v = t.join(df, "term").withColumn("idf", idf_).withColumn("norm", F.sqrt(F.sum(F.col("idf") ** 2).over(Window.partitionBy("doc"))))
+    v = materialise(v, "vectors")
+    rows, pairs = (int(x or 0) for x in df.agg(F.sum("df"), F.sum(F.col("df") * (F.col("df") - 1) / 2)).first())
+    blocks = max(1, -(-pairs // BLOCK_PAIRS))
+    tasks = max(blocks, -(-rows // 1_000_000), min(16, rows // 10_000))
+    pieces = F.ceil(F.col("df") / PIECE).cast("int")
+    piece = F.pmod(F.xxhash64("doc"), pieces).cast("int")
+    each = v.filter("df > 1").select("term", "doc", (F.col("idf") / F.col("norm")).alias("w"), piece.alias("piece"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("o"))
+    each = each.select("term", "doc", "w", "piece", F.least("piece", "o").alias("i"), F.greatest("piece", "o").alias("j"))
+    each = each.withColumn("deal", F.pmod(F.xxhash64("term", "i", "j"), F.lit(tasks)).cast("int")).repartition(tasks, "deal")
+    met = each.groupBy("deal").applyInArrow(_term_pairs(blocks), "block int, pairs binary")
+    found = materialise(met.repartition(blocks, "block").groupBy("block").applyInArrow(_reaching(least), "a long, b long"), "pairs")
+    ids = materialise(found.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "docs")
+    ids = F.broadcast(ids) if ids.limit(most_broadcast + 1).count() <= most_broadcast else ids
+    some = materialise(v.join(ids, "doc", "left_semi").select("doc", "term", "idf", "norm"), "some")
+    a, b = (some.select(F.col("doc").alias(c), "term", *(["idf"] if c == "a" else []), F.col("norm").alias(f"n{c}")) for c in "ab")
+    dot = found.join(a, "a").join(b, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("idf") ** 2).alias("dot"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    return dot.select("a", "b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("cosine")).filter(F.col("cosine") >= least)
+
+
 def ensemble(parts: list[tuple[DataFrame, float]], query: str, target: str, score: str) -> DataFrame:
     """Weighted sum of scores, each over its query's largest; missing scores count as 0."""
     rows = None

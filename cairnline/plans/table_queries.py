@@ -206,7 +206,7 @@ def idf_weights(spark, sf):
 @query(f"""WITH {TERMS}, w AS (SELECT term, ln((1 + (SELECT count(DISTINCT doc) FROM tm)) / (1 + count(*))) + 1 AS idf FROM tm GROUP BY 1), v AS (SELECT doc, term, idf FROM tm JOIN w USING (term)), n AS (SELECT doc, sqrt(sum(idf * idf)) AS norm FROM v GROUP BY 1),
 d AS (SELECT a.doc AS a, b.doc AS b, sum(a.idf * b.idf) AS dot FROM v a JOIN v b USING (term) WHERE a.doc < b.doc GROUP BY 1, 2) SELECT a, b, round(dot / (x.norm * y.norm), 6) AS cosine FROM d JOIN n x ON x.doc = a JOIN n y ON y.doc = b WHERE dot / (x.norm * y.norm) >= 0.1""")
 def idf_cosine(spark, sf):
-    return V.cosine_pairs(_terms(spark, sf), "doc", "term").filter("cosine >= 0.1").withColumn("cosine", R("cosine"))
+    return V.cosine_above(_terms(spark, sf), "doc", "term", 0.1).withColumn("cosine", R("cosine"))
 
 
 @query("""WITH h AS (SELECT l_orderkey AS q, l_returnflag AS flag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey, l_suppkey, l_linenumber) AS rank, l_linenumber = 1 AS good FROM lineitem),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairnline.operators import clusters as C
-from cairnline.operators import graph, placement
+from cairnline.operators import evaluate, graph, placement
 from cairnline.operators.catalog import ENZYMES
 from cairnline.operators.components import connected_components
 from cairnline.operators.digest import LANDMARKS, by_size, digest, digest_native
@@ -92,6 +92,23 @@ def test_links_connect_what_pairs_connect(spark):
     assert links <= pairs and len(links) < len(pairs) and named(links) == named(pairs)
 
 
+def test_cosines_above_a_threshold(spark, monkeypatch):
+    """Packed pairs, with and without pieces of frequent terms, give the cosines of all pairs that reach the threshold."""
+    r = random.Random(6)
+    rows = [(d, t) for d in range(1, 61) for t in {r.choice((r.randrange(4), r.randrange(60))) for _ in range(r.randrange(1, 15))}]
+    df = spark.createDataFrame([*rows, *rows[:40], (99, None)], "d int, t int")
+    plain = {(a, b): c for a, b, c in evaluate.cosine_pairs(df, "d", "t").collect()}
+    for piece, pairs in ((4096, 3_000_000), (7, 100)):
+        monkeypatch.setattr(evaluate, "PIECE", piece)
+        monkeypatch.setattr(evaluate, "BLOCK_PAIRS", pairs)
+        for least in (0.1, 0.4):
+            got = [tuple(x) for x in evaluate.cosine_above(df, "d", "t", least).collect()]
+            assert len(got) == len({x[:2] for x in got}) and {x[:2] for x in got} == {k for k, c in plain.items() if c >= least}
+            assert all(abs(c - plain[a, b]) < 1e-9 for a, b, c in got)
+    a, b, w = np.array([1, 1, 5, 2**40]), np.array([3, 9, 7, 2**41]), np.array([0.5, 0.1, 1e-7, 1.0], "<f2")
+    assert all((x == y).all() for x, y in zip(evaluate._unpacked(evaluate._packed(a, b, w)), (a, b, w), strict=True))
+
+
 def test_tolerant_tags_go_by_numbers(spark, monkeypatch):
     """Links and components move numbers; pairs of letters that have no other near them are done before the rounds."""
     from cairnline.operators import components
