@@ -109,6 +109,25 @@ def test_cosines_above_a_threshold(spark, monkeypatch):
     assert all((x == y).all() for x, y in zip(evaluate._unpacked(evaluate._packed(a, b, w)), (a, b, w), strict=True))
 
 
+def test_medians_of_frequent_letters(spark, monkeypatch):
+    """A list that travels is as long as there are ranges, or a range's part of a letter's places."""
+    written, write = {}, placement.materialise
+    monkeypatch.setattr(placement, "materialise", lambda df, name: written.setdefault(name, write(df, name)))
+    r = random.Random(8)
+    places = {(s, g): sorted(r.sample(range(100_000), n)) for s, n in (("often", 3000), ("some", 40), ("once", 1)) for g in "xyz"}
+    lists = spark.createDataFrame([(s, g, p) for (s, g), p in places.items()], "seq string, _other string, places array<bigint>")
+    rows, want = [], {}
+    for n in range(30):
+        g, own = "xyz"[n % 3], {s: r.randrange(1, 4) for s in r.sample(["often", "some", "once"], r.randrange(1, 4))}
+        all_ = sorted(p for s, k in own.items() for o in "xyz" if o != g for p in places[s, o] for _ in range(k))
+        rows += [(g, n, s, k, len(all_)) for s, k in own.items()]
+        want[g, n] = all_[len(all_) // 2]
+    hits = spark.createDataFrame(rows, "genome string, contig_id bigint, seq string, k bigint, shared bigint")
+    got = placement.medians(hits, lists, ["genome", "contig_id"], ["genome"], 20, 16).collect()
+    assert len(got) == len(want) and {(r[0], r[1]): r[2] for r in got} == want
+    assert written["ranges"].agg(F.max(F.size("places"))).first()[0] < 400
+
+
 def test_tolerant_tags_go_by_numbers(spark, monkeypatch):
     """Links and components move numbers; pairs of letters that have no other near them are done before the rounds."""
     from cairnline.operators import components
